@@ -91,5 +91,5 @@ def chain_field(records: DataFrame, ordinal: str, seq: str = "seq", potential: f
     """(seq_id, pos, nbr_pos, potential): each position linked to the next one of its record."""
     last = F.length(seq) - 2
     return records.where(F.length(seq) >= 2).select(
-        F.col(ordinal).alias("seq_id"), F.explode(F.sequence(F.lit(0), last)).cast("long").alias("pos"),
+        F.col(ordinal).alias("seq_id"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("pos"),
     ).select("seq_id", "pos", (F.col("pos") + 1).alias("nbr_pos"), F.lit(potential).cast("float").alias("potential"))

@@ -15,7 +15,7 @@ def _hits(text: Column, pattern: str) -> Column:
     quoted = "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in pattern)
     pieces = F.split(text, f"(?={quoted})")
     lengths = F.transform(pieces, lambda p: F.length(p).cast("long"))
-    ends = F.aggregate(F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0))), F.array().cast("array<long>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0).cast("long")) + n)))
+    ends = F.aggregate(F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0))), F.array().cast("array<long>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + n)))
     starts = F.when(F.startswith(text, F.lit(pattern)), F.concat(F.array(F.lit(0).cast("long")), F.filter(ends, lambda e: e > 0))).otherwise(ends)
     return F.when(F.length(text) >= len(pattern), starts).otherwise(F.array().cast("array<long>"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,15 @@ def shared_checkpoint(frame: DataFrame) -> DataFrame:
     """``frame``, written once to the shared folder and read from there afterwards."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers started from now on import this package from where the driver has it.
+
+    A cluster gets the package with --py-files or from its image; this is for workers that see the driver's path.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
+    return spark
