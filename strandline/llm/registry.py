@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strandline.llm import partenum
+from strandline.llm import mixing, nearest, partenum, urlrules, warc
 from strandline.sources.shared import importable
 
 
@@ -15,9 +12,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=4)
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join,)}
-SQL: dict[str, str] = {}
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_systematic_mixing, op3_url_filter, op5_ngram_jaccard_join, op9_warc_segments, op10_nearest_neighbours)}
+SQL = {"op2_systematic_mixing": mixing.SQL, "op3_url_filter": urlrules.SQL, "op9_warc_segments": warc.SQL}
