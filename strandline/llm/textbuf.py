@@ -88,9 +88,14 @@ def batches(stream, size: int = SLICE, text: str = "text") -> Iterator[tuple[pa.
             yield batch.slice(a, b - a), data[at[a] : at[b]], at[a : b + 1] - at[a]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): word bounds in ``data``; words first[d] to first[d + 1] are those of row d."""
-    solid = ~SPACE[data]
+#: Letters and digits of ASCII, and every byte of other characters: the tokens of matching that ignores punctuation.
+TOKEN = np.zeros(256, bool)
+TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = TOKEN[128:] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): bounds of the runs of bytes in ``part`` (default: not white space); row d has first[d]:first[d + 1]."""
+    solid = ~SPACE[data] if part is None else part[data]
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     edge = np.zeros(len(data) + 1, bool)
