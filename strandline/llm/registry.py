@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import language, mixing, nearest, packing, partenum, tiling, toxicity, urlrules, warc
+from strandline.llm import language, mixing, nearest, packing, partenum, spans, tiling, toxicity, urlrules, warc
 from strandline.sources.shared import importable
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,5 +54,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_systematic_mixing, op3_url_filter, op4_toxicity, op5_ngram_jaccard_join, op6_decontamination, op7_language_id, op8_packed_tokens, op9_warc_segments, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_systematic_mixing, op3_url_filter, op4_toxicity, op5_ngram_jaccard_join, op6_decontamination, op7_language_id, op8_packed_tokens, op9_warc_segments, op10_nearest_neighbours)}
 SQL = {"op2_systematic_mixing": mixing.SQL, "op3_url_filter": urlrules.SQL, "op9_warc_segments": warc.SQL}
