@@ -58,7 +58,8 @@ def test_random_mixtures(spark, monkeypatch):
 
 
 def test_odd_rows(spark):
-    a = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
+    rnd = random.Random(1)
+    a = "".join(rnd.choice("abcdefgh") for _ in range(500))
     rows = [(None, a), (1, None), (2, ""), (3, "x" * 99), (4, "x" * 100), (5, "x" * 101), (6, a[:300]), (7, "q" + a[1:]), (9, a[200:] + a[:200]), (8, a * 40)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, pos int")
     assert got(spans.repeated_spans(docs)) == brute(rows, 100)
