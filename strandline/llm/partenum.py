@@ -9,9 +9,11 @@ Parts are n1 = k // (k2 + 1) + 1 + spare. At least 1 + spare parts hold an equal
 without features, which would meet by chance, as long as no more than ``spare`` of its parts have one; else it gives
 them too. No link is lost in either case.
 
-Equal signatures only name candidates. A group sends an edge from its least member to each other one; components of these
-edges are verified exactly, in blocks of bounded size, by a search that visits a set's links among all sets not yet
-reached. Hence all links between different texts count, though pairs within a group are never listed.
+Equal signatures only name candidates. Groups that share their members are taken once. Within a group, sketches of the
+sets are compared: counts of the features by hash cell, whose distance is at most the symmetric difference. A search visits
+a set's possible links among all sets not yet reached, so that whatever may be linked stays connected, and pairs are never
+listed. Components of what remains are verified on the sets themselves by the same search. Both searches work in blocks of
+bounded size, and larger groups in pairs of blocks. Hence all links between different texts count.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ from strandline.sources.shared import importable, shared_checkpoint
 U = np.uint64
 #: A verified block holds at most about this many sets and features.
 BLOCK_SETS, BLOCK_FEATURES = 512, 400_000
+#: Sets of a group compared by sketch at once, and cells of a sketch. A count stops at 255, which only shortens distances.
+BLOCK_SKETCHES, CELLS = 4_096, 128
+#: Members of a group up to which it gets a name from its members.
+NAMED = 100_000
 
 
 @cache
@@ -98,11 +103,15 @@ def set_id(features: np.ndarray) -> int:
     return int(T.mix(np.array([T.mix(features).sum() + U(len(features))], np.uint64))[0] >> U(1))
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((features >> U(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
 def _name_sets(width: int):
     def run(stream):
         for rows, data, at in T.batches(stream):
-            sets = [(len(s), set_id(s) if len(s) else None) for s in shingle_sets(data, at, width)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([i for _, i in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            sets = [(len(s), set_id(s) if len(s) else None, sketch(T.mix(s)).tobytes() if len(s) else None) for s in shingle_sets(data, at, width)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n_shingles", "set_id", "sketch"])
 
     return run
 
@@ -123,24 +132,151 @@ def _sign_sets(width: int, percent: int, n2: int, k2: int):
     return run
 
 
-def _stars(stream):
-    """Rows sorted by (sig, set_id) to edges from the least of each group; the last group goes on into the next batch."""
-    sig0 = id0 = None
+def _groups(stream):
+    """Rows sorted by (sig, set_id) to (group, set_id) of signatures that several sets have.
+
+    A group is named by its members, so that those of many signatures fall together; one of more than NAMED members is
+    named by its signature and goes out as it comes.
+    """
+    held: list[np.ndarray] = []  # members of the last signature, which may go on
+    sig0, count, loose = None, 0, False
+
+    def packed(group: np.ndarray, ids: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(ids)], ["grp", "set_id"])
+
+    def close():
+        if loose or count < 2:
+            return None
+        ids = np.unique(np.concatenate(held))
+        if len(ids) < 2:
+            return None
+        return packed(np.full(len(ids), T.mix(ids.astype(U)).sum(), U), ids)
+
     for batch in stream:
         if not batch.num_rows:
             continue
         sig, ids = (batch.column(c).to_numpy() for c in ("sig", "set_id"))
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        lead = ids[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])  # copies signed by several tasks
+        sig, ids = sig[fresh], ids[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         if sig0 is not None and sig[0] == sig0:
-            same = np.cumsum(new) == 1
-            lead = np.where(same, id0, lead)
-        sig0, id0 = sig[-1], lead[-1]
-        far = lead != ids
-        if far.any():
-            pairs = np.unique(np.stack([lead[far], ids[far]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            stop = starts[1] if len(starts) > 1 else len(sig)
+            if loose:
+                yield packed(np.full(stop, T.mix(np.array([sig0]).astype(U))[0], U), ids[:stop])
+            else:
+                held.append(ids[:stop])
+                count += stop
+            starts = starts[1:]
+        if len(starts):
+            if (last := close()) is not None:
+                yield last
+            final = starts[-1]
+            sizes = np.diff(starts)
+            sums = np.add.reduceat(T.mix(ids[:final].astype(U)), starts[:-1]) if final and len(starts) > 1 else np.zeros(0, U)
+            if final and len(starts) > 1:
+                begin = starts[0]
+                many = np.repeat(sizes > 1, sizes)
+                if many.any():
+                    rows = np.unique(np.stack([np.repeat(sums, sizes)[many].view(np.int64), ids[begin:final][many]], 1), axis=0)
+                    yield packed(np.ascontiguousarray(rows[:, 0]).view(U), np.ascontiguousarray(rows[:, 1]))
+            sig0, held, count, loose = sig[-1], [ids[final:]], len(ids) - final, False
+        if count > NAMED and not loose:
+            ids = np.concatenate(held)
+            yield packed(np.full(len(ids), T.mix(np.array([sig0]).astype(U))[0], U), ids)
+            held, loose = [], True
+    if (last := close()) is not None:
+        yield last
+
+
+def in_groups(stream, keys: list[str]):
+    """Arrow tables of the rows with equal ``keys``; the stream must be sorted by them."""
+    rest = None
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(a, b - a)
+        rest = table.slice(cuts[-1]).combine_chunks()
+    if rest is not None:
+        yield rest
+
+
+def sketch_forest(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect all sets whose sizes and sketches allow a link, directly or through others."""
+    left, out, queue = np.arange(len(ids)), [], []
+    wide = sketches.astype(np.int16)
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left = left[1:]
+            if not len(left):
+                break
+        p = queue.pop()
+        fit = left[(100 * np.minimum(sizes[left], sizes[p]) >= percent * np.maximum(sizes[left], sizes[p]))]
+        if not len(fit):
+            continue
+        apart = np.abs(wide[fit] - wide[p]).sum(1)
+        found = fit[(100 + percent) * apart <= (100 - percent) * (sizes[fit] + sizes[p])]
+        if len(found):
+            out += [(int(ids[p]), int(ids[i])) for i in found]
+            queue += found.tolist()
+            left = np.setdiff1d(left, found, assume_unique=True)
+    return out
+
+
+def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _searched(keys: list[str], search):
+    """``search(table)`` of each group, its edges in batches."""
+    def run(stream):
+        out: list[tuple[int, int]] = []
+        for table in in_groups(stream, keys):
+            if table.num_rows > 1:
+                out += search(table)
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return run
+
+
+def _by_sketch(percent: int):
+    def search(table: pa.Table) -> list[tuple[int, int]]:
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS)
+        return sketch_forest(table.column("set_id").to_numpy(), table.column("n").to_numpy(), sketches, percent)
+
+    return search
+
+
+def _by_features(percent: int):
+    def search(table: pa.Table) -> list[tuple[int, int]]:
+        lists = table.column("features").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return linked_forest(table.column("set_id").to_numpy(), [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], percent)
+
+    return search
+
+
+def _in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Rows with (group, x, y): all of a group together if it has one part, else each pair of its parts."""
+    own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0))), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
+    pairs = F.filter(others, lambda p: (F.col("parts") == 1) | (p["x"] < p["y"]))
+    keep = [c for c in rows.columns if c != "parts"]
+    return rows.withColumn("own", own).select(*keep, F.inline(pairs)).repartition(group, "x", "y").sortWithinPartitions(group, "x", "y", "set_id")
 
 
 def linked_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -178,15 +314,6 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     return out
 
 
-def _verify(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("set_id").sort_values("set_id")
-        sets = [np.asarray(x, np.int64) for x in pdf["features"]]
-        return pd.DataFrame(linked_forest(pdf["set_id"].to_numpy(), sets, percent), columns=["a", "b"]).astype("int64")
-
-    return run
-
-
 def _features(width: int):
     def run(stream):
         for rows, data, at in T.batches(stream):
@@ -207,25 +334,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, n2: int
     """
     importable(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    named = shared_checkpoint(docs.mapInArrow(_name_sets(width), "doc_id long, n_shingles long, set_id long"))
+    named = shared_checkpoint(docs.mapInArrow(_name_sets(width), "doc_id long, n_shingles long, set_id long, sketch binary"))
     texts = docs.where(F.col("doc_id").isNotNull())
-    first = named.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    first = named.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    first = shared_checkpoint(first)
     signed = texts.select("text").mapInArrow(_sign_sets(width, percent, n2, k2), "sig long, set_id long")
-    stars = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_stars, "a long, b long").distinct()
-    near = shared_checkpoint(components(stars))
-
-    sized = near.join(first, F.col("node") == F.col("set_id"))
+    groups = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_groups, "grp long, set_id long").distinct()
+    groups = shared_checkpoint(groups)
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES).cast("int").alias("parts"))
+    drawn = groups.join(sizes, "grp").join(first.select("set_id", "n", "sketch"), "set_id").select("grp", "set_id", "n", "sketch", "parts")
+    possible = _in_blocks(drawn, "grp").mapInArrow(_searched(["grp", "x", "y"], _by_sketch(percent)), "a long, b long").distinct()
+    near = shared_checkpoint(components(possible))
+
+    sized = near.join(first.drop("sketch"), F.col("node") == F.col("set_id"))
     total = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("parts"))
     asked = sized.join(total, "root").select(F.col("rep").alias("doc_id"), "set_id", F.col("root").alias("comp"), "parts")
     sets = asked.join(texts, "doc_id").select("set_id", "comp", "parts", "text").mapInArrow(_features(width), "set_id long, comp long, parts int, features array<long>")
-    own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0))), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    pairs = F.filter(others, lambda p: (F.col("parts") == 1) | (p["x"] < p["y"]))
-    blocks = sets.withColumn("own", own).select("comp", "set_id", "features", F.inline(pairs))
-    links = blocks.groupBy("comp", "x", "y").applyInPandas(_verify(percent), "a long, b long")
+    links = _in_blocks(sets, "comp").mapInArrow(_searched(["comp", "x", "y"], _by_features(percent)), "a long, b long")
     joined = components(links)
     least = shared_checkpoint(_least(joined, first))
-    out = named.join(least, "set_id", "left")
+    out = named.drop("sketch").join(least, "set_id", "left")
     own_rep = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own_rep.alias("component_id"))
 

@@ -70,6 +70,7 @@ def test_near_copies_of_all_sizes(spark):
 
 def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(partenum, "BLOCK_SETS", 5)
+    monkeypatch.setattr(partenum, "BLOCK_SKETCHES", 3)
     rnd = random.Random(7)
     chain = [[f"c{i}" for i in range(100)]]
     for i in range(60):  # each linked with the one before only
