@@ -97,7 +97,7 @@ class Output:
     """Positions and common prefixes, written in blocks."""
 
     def __init__(self, folder: str, name: str, n: int):
-        self.data = np.memmap(os.path.join(folder, name), np.int64, "w+", shape=(max(n, 1), 2))
+        self.data = np.memmap(os.path.join(folder, name), np.int32 if n < 1 << 31 else np.int64, "w+", shape=(max(n, 1), 2))
         self.at, self.block = 0, []
 
     def add(self, position: int, prefix: int) -> None:
@@ -282,26 +282,26 @@ def induced(text: np.ndarray, cap: int, folder: str, held: int = HELD, depth: in
     return out.flush()[::-1]
 
 
-def repeated_windows(segments: Iterator[tuple[int, int, bytes]], width: int, folder: str | None = None, held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows of ``width`` bytes that also start earlier, as (segment, place) arrays.
+def repeated_windows(segments: Iterator[tuple[int, int, np.ndarray]], width: int, folder: str | None = None, held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of ``width`` symbols that also start earlier, as (segment, place) arrays.
 
-    ``segments`` are (owner, start, bytes): a window at place p of one stands at (owner, start + p), and the least of these
-    pairs among equal windows is not given, nor are windows at that same place. The bytes go to disk as they come.
+    ``segments`` are (owner, start, symbols from 0 on): a window at place p of one stands at (owner, start + p), and the
+    least of these pairs among equal windows is not given, nor are windows at that same place. Symbols go to disk as they
+    come.
     """
     with tempfile.TemporaryDirectory(dir=folder) as work:
         path, owners, starts, sizes = os.path.join(work, "text"), [], [], []
         with open(path, "wb") as sink:
-            for owner, start, raw in segments:
+            for owner, start, symbols in segments:
                 owners.append(owner)
                 starts.append(start)
-                sizes.append(len(raw))
-                (np.frombuffer(raw, np.uint8).astype(np.int16) + 2).tofile(sink)
-                np.ones(1, np.int16).tofile(sink)
-            np.zeros(1, np.int16).tofile(sink)
+                sizes.append(len(symbols))
+                sink.write((symbols.astype(np.int32) + 2).tobytes() + b"\1\0\0\0")
+            sink.write(bytes(4))
         if not owners:
             return
         owner, start, size = (np.array(x, np.int64) for x in (owners, starts, sizes))
-        text = np.memmap(path, np.int16, "r")
+        text = np.memmap(path, np.int32, "r")
         sa = induced(text, width, work, held)
         first = np.concatenate([[0], np.cumsum(size + 1)])
         # classes of equal windows are runs of common prefixes of the full width; one may go on into the next block

@@ -8,7 +8,9 @@ mostly one anchor. Windows with one anchor are a stretch, and a stretch is a sha
    windows. Of stretches that are equal as wholes, all but the earliest are removed as wholes; copies end here.
 2. Different stretches with the same anchor are cut into blocks of windows at fixed distances from the anchor, and go to
    shards by the bytes that all windows of a block share. A passage in many documents thus meets only the same bytes of
-   its other occurrences. Each shard is a text whose suffixes are sorted by ``inducing``: with queues on disk, common
+   its other occurrences. Those shared bytes become one symbol, by their hash, as equal substrings do when an induced
+   sort goes down a level; a block is what stands before it, that symbol, and what stands behind. Equal blocks are
+   removed like equal stretches. The rest of each shard is a text whose suffixes are sorted by ``inducing``: with queues on disk, common
    prefixes carried along. Runs of prefixes of the full width are equal windows; all but the earliest are removed.
 
 Memory is bounded in all steps; only hashes of stretches, and texts of ambiguous ones, are shuffled. The two results are
@@ -30,7 +32,7 @@ from strandline.llm import textbuf as T
 from strandline.sources.shared import importable, shared_checkpoint
 
 U = np.uint64
-GRAM, BLOCK = 24, 32
+GRAM, BLOCK = 24, 8
 #: Bytes looked at together; longer texts are cut with an overlap, which only moves stretches' ends.
 PIECE = 1 << 19
 PLACE_BITS = 24
@@ -176,8 +178,8 @@ def _cut(width: int):
                         low, high = max(start, anchor - b * BLOCK - BLOCK + 1), min(start + count - 1, anchor - b * BLOCK)
                         at = anchor - b * BLOCK
                         route = xxhash.xxh3_64_intdigest(raw[at : at + core], b) - (1 << 63)
-                        out.append((route, key, mark, low, raw[low : high + width]))
-                        held += high + width - low
+                        out.append((route, at - low, raw[low:at] + raw[at + core : high + width], key, mark, low))
+                        held += 64
                         assert high + width <= stop
                 if held > 4 << 20:
                     yield _blocks(out)
@@ -188,40 +190,54 @@ def _cut(width: int):
     return run
 
 
+BLOCK_COLUMNS = ["route", "before", "edges", "key", "print", "start"]
+
+
 def _blocks(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["route", "key", "print", "start", "bytes"])
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], BLOCK_COLUMNS)
 
 
 def _sort_shard(width: int, held: int):
-    """Blocks sorted by route: those with a rival make up the shard's text; gives removed ranges."""
+    """Blocks sorted by route, content and place to removed ranges.
+
+    Of equal blocks all but the earliest go at once; different ones with one route make up the shard's text.
+    """
+    core = width - BLOCK + 1
 
     def run(stream):
         marks: list[int] = []
         keys: list[int] = []
         starts: list[int] = []
+        whole: list[tuple[int, int, int, int]] = []
 
         def paired():
-            before, sent = None, False
+            before, sent, symbol = None, False, 255
             for batch in stream:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("route", "key", "print", "start", "bytes")), strict=True):
+                for row in zip(*(batch.column(c).to_pylist() for c in BLOCK_COLUMNS), strict=True):
+                    if before is not None and before[:3] == row[:3]:
+                        if before[3] != row[3] or before[5] != row[5]:
+                            whole.append((row[3], row[4], row[5], row[5] + len(row[2]) + core))
+                        continue
                     if before is not None and before[0] == row[0]:
                         if not sent:
-                            yield before
-                        yield row
+                            symbol += 1
+                            yield symbol, before
+                        yield symbol, row
                         sent = True
                     else:
                         sent = False
                     before = row
 
         def segments():
-            for _, key, mark, start, raw in paired():
+            for symbol, (_, cut, edges, key, mark, start) in paired():
                 keys.append(key)
                 marks.append(mark)
                 starts.append(start)
-                yield key, start, raw
+                raw = np.frombuffer(edges, np.uint8).astype(np.int32)
+                yield key, start, np.concatenate([raw[:cut], [symbol], raw[cut:]])
 
-        for segment, place in inducing.repeated_windows(segments(), width, held=held):
+        for segment, place in inducing.repeated_windows(segments(), BLOCK, held=held):
             if not len(segment):
                 continue
             order = np.lexsort((place, segment))
@@ -232,6 +248,8 @@ def _sort_shard(width: int, held: int):
             tail = np.append(head[1:], len(s)) - 1
             key, mark, start = (np.array(x, np.int64)[s[head]] for x in (keys, marks, starts))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark), pa.array(start + p[head]), pa.array(start + p[tail] + width)], ["key", "print", "low", "high"])
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in whole], pa.int64()) for i in range(4)], ["key", "print", "low", "high"])
 
     return run
 
@@ -280,8 +298,8 @@ def repeated_spans(docs: DataFrame, width: int = 100, held: int = inducing.HELD)
     start = F.shiftright("pos", 32)
     whole = placed.where("kind = 0").select("key", "print", start.alias("low"), (start + F.col("pos").bitwiseAND(127) - 1 + width).alias("high"))
     rivals = placed.where("kind = 2").groupBy("key", "print").agg(F.collect_list("pos").alias("places"))
-    blocks = given.select("key", "print", "text").join(rivals.hint("shuffle_hash"), ["key", "print"]).select("key", "print", "text", "places").mapInArrow(_cut(width), "route long, key long, print long, start long, bytes binary")
-    shards = blocks.repartition("route").sortWithinPartitions("route").mapInArrow(_sort_shard(width, held), "key long, print long, low long, high long")
+    blocks = given.select("key", "print", "text").join(rivals.hint("shuffle_hash"), ["key", "print"]).select("key", "print", "text", "places").mapInArrow(_cut(width), "route long, before long, edges binary, key long, print long, start long")
+    shards = blocks.repartition("route").sortWithinPartitions("route", "before", "edges", "key", "start").mapInArrow(_sort_shard(width, held), "key long, print long, low long, high long")
     ranges = whole.unionByName(shards).groupBy("key", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     found = given.join(ranges.hint("shuffle_hash"), ["key", "print"], "left").select("doc_id", "text", "ranges")
     return found.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")

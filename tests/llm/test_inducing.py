@@ -46,5 +46,5 @@ def test_repeated_windows(held):
             for p in range(len(raw) - 9):
                 seen.setdefault(raw[p : p + 10], []).append(((o, st + p), s, p))
         want = sorted((s, p) for v in seen.values() for at, s, p in v if at != min(v)[0])
-        got = sorted((int(s), int(p)) for a, b in inducing.repeated_windows(iter(segments), 10, held=held) for s, p in zip(a, b))
+        got = sorted((int(s), int(p)) for a, b in inducing.repeated_windows(((o, st, np.frombuffer(raw, np.uint8)) for o, st, raw in segments), 10, held=held) for s, p in zip(a, b))
         assert got == want
