@@ -289,7 +289,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, held: int = inducing.HELD)
     columns are ignored.
     """
     importable(docs.sparkSession)
-    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 24))
+    mark = F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))  # never null, so that neither join adds a filter
     given = docs.select("doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), mark.alias("print"), F.coalesce("text", F.lit("")).alias("text"))
     named = given.where(F.octet_length("text") >= width).select("key", "print", "text").mapInArrow(_name(width), "gram long, name long, key long, pos long")
     settled = named.repartition("gram").sortWithinPartitions("gram", "name", "key", "pos").mapInArrow(_settle, "key long, pos long, gram long, kind int")
@@ -298,7 +298,8 @@ def repeated_spans(docs: DataFrame, width: int = 100, held: int = inducing.HELD)
     start = F.shiftright("pos", 32)
     whole = placed.where("kind = 0").select("key", "print", start.alias("low"), (start + F.col("pos").bitwiseAND(127) - 1 + width).alias("high"))
     rivals = placed.where("kind = 2").groupBy("key", "print").agg(F.collect_list("pos").alias("places"))
-    blocks = given.select("key", "print", "text").join(rivals.hint("shuffle_hash"), ["key", "print"]).select("key", "print", "text", "places").mapInArrow(_cut(width), "route long, before long, edges binary, key long, print long, start long")
+    # both joins take the same columns, so that the texts are shuffled once and the exchange is used again
+    blocks = given.join(rivals.hint("shuffle_hash"), ["key", "print"]).select("doc_id", "key", "print", "text", "places").mapInArrow(_cut(width), "route long, before long, edges binary, key long, print long, start long")
     shards = blocks.repartition("route").sortWithinPartitions("route", "before", "edges", "key", "start").mapInArrow(_sort_shard(width, held), "key long, print long, low long, high long")
     ranges = whole.unionByName(shards).groupBy("key", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     found = given.join(ranges.hint("shuffle_hash"), ["key", "print"], "left").select("doc_id", "text", "ranges")
