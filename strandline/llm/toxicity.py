@@ -58,7 +58,7 @@ def compile_lexicon(words: list[str], stems: list[str]) -> Lexicon:
     """The deterministic product of the trie and the one-edit automaton. A stem is met by any word that begins with it."""
     entries = [(w.encode(), False) for w in words] + [(s.encode(), True) for s in stems]
     trie: list[dict[int, int]] = [{}]
-    whole, stem, fuzzy = set(), set(), {0}
+    whole, stem, fuzzy, fuzzy_ends = set(), set(), {0}, set()
     for raw, is_stem in entries:
         at, path = 0, [0]
         for b in raw:
@@ -70,6 +70,7 @@ def compile_lexicon(words: list[str], stems: list[str]) -> Lexicon:
         (stem if is_stem else whole).add(at)
         if not is_stem and len(raw) >= FUZZY_FROM:
             fuzzy.update(path)
+            fuzzy_ends.add(at)
     letters = sorted({b for node in trie for b in node})
     classes = np.zeros(256, np.int64)
     for i, b in enumerate(letters, 1):
@@ -111,7 +112,7 @@ def compile_lexicon(words: list[str], stems: list[str]) -> Lexicon:
                 order.append(after)
             row.append(states[after])
         rows.append(row)
-    accepts = [2 if any(e == 0 and n in whole for n, e in p) else 3 if p == done or any(e == 0 and n in stem for n, e in p) else 1 if any(e == 1 and n in whole for n, e in p) else 0 for p in order]
+    accepts = [2 if any(e == 0 and n in whole for n, e in p) else 3 if p == done or any(e == 0 and n in stem for n, e in p) else 1 if any(e == 1 and n in fuzzy_ends for n, e in p) else 0 for p in order]
     return Lexicon(np.array(rows, np.int32), classes, np.array(accepts, np.int8))
 
 
