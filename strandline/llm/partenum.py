@@ -10,7 +10,8 @@ without features, which would meet by chance, as long as no more than ``spare``
 them too. No link is lost in either case.
 
 Equal signatures only name candidates. Groups that share their members are taken once. Within a group, sketches of the
-sets are compared: counts of the features by hash cell, whose distance is at most the symmetric difference. A search visits
+sets are compared: counts of the features by hash cell, whose distance is at most the symmetric difference. Cells grow with the set, as
+else long texts without a link would look alike; of two sketches the finer is folded. A search visits
 a set's possible links among all sets not yet reached, so that whatever may be linked stays connected, and pairs are never
 listed. Components of what remains are verified on the sets themselves by the same search. Both searches work in blocks of
 bounded size, and larger groups in pairs of blocks. Hence all links between different texts count.
@@ -35,8 +36,10 @@ from strandline.sources.shared import importable, shared_checkpoint
 U = np.uint64
 #: A verified block holds at most about this many sets and features.
 BLOCK_SETS, BLOCK_FEATURES = 512, 400_000
-#: Sets of a group compared by sketch at once, and cells of a sketch. A count stops at 255, which only shortens distances.
-BLOCK_SKETCHES, CELLS = 4_096, 128
+#: Sets of a group compared by sketch at once. A sketch has CELLS cells, or as many more (a power of two) as leave FILL
+#: features or fewer to a cell; up to MOST_CELLS, as a block must fit in memory. Sets with more than about 25 features a
+#: cell are no longer told apart by it, which costs time but no link. A count stops at 255, which only shortens distances.
+BLOCK_SKETCHES, CELLS, FILL, MOST_CELLS = 4_096, 128, 8, 16_384
 #: Members of a group up to which it gets a name from its members.
 NAMED = 100_000
 
@@ -104,7 +107,15 @@ def set_id(features: np.ndarray) -> int:
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((features >> U(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+    cells = min(max(CELLS, 1 << max(-(-len(features) // FILL) - 1, 0).bit_length()), MOST_CELLS)
+    return np.minimum(np.bincount((features >> U(65 - cells.bit_length())).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def folded(sketches: np.ndarray, cells: int) -> np.ndarray:
+    """Sketches (in the last axis) of as many or more cells, as ones of ``cells``."""
+    if sketches.shape[-1] == cells:
+        return sketches
+    return np.minimum(sketches.reshape(*sketches.shape[:-1], cells, -1).sum(-1, dtype=np.int64), 255).astype(np.uint8)
 
 
 def _name_sets(width: int):
@@ -210,10 +221,38 @@ def in_groups(stream, keys: list[str]):
         yield rest
 
 
-def sketch_forest(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
+class Sketches:
+    """Sketches of several sizes, those of one size in one array."""
+
+    def __init__(self, raw: list[bytes]):
+        self.cells = np.array([len(r) for r in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.arrays: dict[tuple[int, int], np.ndarray] = {}
+        for c in np.unique(self.cells).tolist():
+            at = np.flatnonzero(self.cells == c)
+            self.place[at] = np.arange(len(at))
+            self.arrays[c, c] = np.frombuffer(b"".join([raw[i] for i in at]), np.uint8).reshape(-1, c)
+
+    def _at(self, own: int, cells: int) -> np.ndarray:
+        if (own, cells) not in self.arrays:
+            self.arrays[own, cells] = folded(self.arrays[own, own], cells)
+        return self.arrays[own, cells]
+
+    def distances(self, p: int, others: np.ndarray) -> np.ndarray:
+        """From sketch ``p``, in the cells of the coarser of both."""
+        out, own = np.zeros(len(others), np.int64), int(self.cells[p])
+        theirs = self.cells[others]
+        for c in np.unique(theirs).tolist():
+            at = np.flatnonzero(theirs == c)
+            both = min(own, c)
+            mine, rows = self._at(own, both)[self.place[p]], self._at(c, both)[self.place[others[at]]]
+            out[at] = (np.maximum(rows, mine) - np.minimum(rows, mine)).sum(1, dtype=np.int64)
+        return out
+
+
+def sketch_forest(ids: np.ndarray, sizes: np.ndarray, sketches: Sketches, percent: int) -> list[tuple[int, int]]:
     """Edges that connect all sets whose sizes and sketches allow a link, directly or through others."""
     left, out, queue = np.arange(len(ids)), [], []
-    wide = sketches.astype(np.int16)
     while len(left):
         if not queue:
             queue.append(int(left[0]))
@@ -224,8 +263,7 @@ def sketch_forest(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, perc
         fit = left[(100 * np.minimum(sizes[left], sizes[p]) >= percent * np.maximum(sizes[left], sizes[p]))]
         if not len(fit):
             continue
-        apart = np.abs(wide[fit] - wide[p]).sum(1)
-        found = fit[(100 + percent) * apart <= (100 - percent) * (sizes[fit] + sizes[p])]
+        found = fit[(100 + percent) * sketches.distances(p, fit) <= (100 - percent) * (sizes[fit] + sizes[p])]
         if len(found):
             out += [(int(ids[p]), int(ids[i])) for i in found]
             queue += found.tolist()
@@ -254,7 +292,7 @@ def _searched(keys: list[str], search):
 
 def _by_sketch(percent: int):
     def search(table: pa.Table) -> list[tuple[int, int]]:
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS)
+        sketches = Sketches(table.column("sketch").to_pylist())
         return sketch_forest(table.column("set_id").to_numpy(), table.column("n").to_numpy(), sketches, percent)
 
     return search

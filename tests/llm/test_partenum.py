@@ -92,6 +92,28 @@ def test_odd_rows(spark):
     assert partenum.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_sketches_of_long_texts(spark):
+    """Sets around the sizes where sketches get more cells: links across them stay, other pairs do not come through."""
+    rnd = np.random.default_rng(3)
+    sets = []
+    for size in (900, 1024, 1030, 2040, 2060, 5000, 9000):
+        base = np.unique(rnd.integers(0, 1 << 63, size).astype(np.uint64))
+        sets += [base, base[: int(size * 0.82)], np.concatenate([base, np.unique(rnd.integers(0, 1 << 63, size // 10).astype(np.uint64))])]
+    assert {len(partenum.sketch(s)) for s in sets} >= {128, 256, 512, 1024, 2048}
+    all_of = partenum.Sketches([partenum.sketch(partenum.T.mix(s)).tobytes() for s in sets])
+    for a in range(len(sets)):
+        near = all_of.distances(a, np.arange(len(sets)))
+        for b in range(len(sets)):
+            apart = len(np.setxor1d(sets[a], sets[b]))
+            assert near[b] <= apart
+            if a // 3 != b // 3 and 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b])):
+                assert 180 * near[b] > 20 * (len(sets[a]) + len(sets[b]))
+    words = [" ".join(f"v{i}" for i in rnd.integers(0, 100_000, n)) for n in (1020, 1028, 2050, 4100)]
+    rows = [(2 * i, t) for i, t in enumerate(words)] + [(2 * i + 1, t + " " + t[: len(t) // 10]) for i, t in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(partenum.near_duplicates(docs)) == brute(rows, 80, 5)
+
+
 def test_forest_is_exact():
     rnd = np.random.default_rng(1)
     base = rnd.integers(0, 1 << 40, 100)
