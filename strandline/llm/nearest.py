@@ -2,7 +2,8 @@
 
 Unit vectors are projected on DIMS normal directions (a 2-stable law): a squared distance s becomes s times a chi-square
 variable. Cuts of a kd-tree over projections of a bounded sample deal all vectors to regions; a region that holds more
-than CELL is split by a hash of vec_id, so many equal vectors never meet in one task. Each cell has a kd-tree of its own.
+than CELL is split by a hash, and queries stream past a cell, so a task holds a bounded number of vectors. Each cell has a
+kd-tree of its own.
 
 A query visits leaves in order of their projected distance and verifies their vectors exactly. It stops when the next leaf
 is so far that a vector beyond, were it nearer than the k-th found, would have been projected there only with probability
@@ -15,10 +16,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.sources.shared import importable, shared_checkpoint
 
@@ -114,40 +115,83 @@ def gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (d * d).sum(2)
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int, sure: float = SURE) -> list[tuple[int, int, float]]:
-    """(query, vec_id, score): up to ``k`` best of these vectors for each query. kth: squared distances already reached."""
-    unit, proj = units(vectors), directions(vectors.shape[1])
-    points, asked = unit @ proj, units(queries) @ proj
-    norm, qnorm = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
-    cuts = region_cuts(points, -(-len(ids) // LEAF))
-    leaf = place(points, cuts)
-    order = np.argsort(leaf, kind="stable")
-    bounds = np.searchsorted(leaf[order], np.arange(leaf.max() + 2))
-    full = np.flatnonzero(np.diff(bounds))
-    low = np.stack([points[order[bounds[f] : bounds[f + 1]]].min(0) for f in full])
-    high = np.stack([points[order[bounds[f] : bounds[f + 1]]].max(0) for f in full])
-    ids, vectors, norm = ids[order], vectors[order], norm[order]
-    limit, out = chi_square_bound(sure, DIMS), []
-    for q in range(len(qids)):
-        far = gaps(asked[q : q + 1], low, high)[0]
-        best_s, best_i, reach = np.zeros(0), np.zeros(0, np.int64), kth[q]
-        for f in np.argsort(far, kind="stable"):
-            if far[f] > limit * reach:
-                break
-            a, b = bounds[full[f]], bounds[full[f] + 1]
-            score = (vectors[a:b] * queries[q]).sum(1) / (norm[a:b] * qnorm[q])
-            keep = ids[a:b] != qids[q]
-            s, i = np.concatenate([best_s, score[keep]]), np.concatenate([best_i, ids[a:b][keep]])
-            top = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[top], i[top]
-            if len(best_s) == k:
-                reach = min(reach, max(2 - 2 * best_s[-1], 0.0) + 1e-12)
-        out += zip([int(qids[q])] * len(best_i), best_i.tolist(), best_s.tolist(), strict=True)
-    return out
+class Cell:
+    """Vectors of one cell in a kd-tree of their projections."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray):
+        points = units(vectors) @ directions(vectors.shape[1])
+        leaf = place(points, region_cuts(points, -(-len(ids) // LEAF)))
+        order = np.argsort(leaf, kind="stable")
+        bounds = np.searchsorted(leaf[order], np.arange(leaf.max() + 2))
+        full = np.flatnonzero(np.diff(bounds))
+        self.bounds = [(int(bounds[f]), int(bounds[f + 1])) for f in full]
+        self.low = np.stack([points[order[a:b]].min(0) for a, b in self.bounds])
+        self.high = np.stack([points[order[a:b]].max(0) for a, b in self.bounds])
+        self.ids, self.copies, self.vectors = ids[order], copies[order], vectors[order]
+        self.norm = np.sqrt((self.vectors * self.vectors).sum(1))
+
+    def search(self, queries: np.ndarray, reach: np.ndarray, k: int, sure: float = SURE) -> list[tuple[int, int, float]]:
+        """(row of the query, row of the cell, score): up to ``k`` best for each. reach: squared distances already reached."""
+        asked, qnorm = units(queries) @ directions(queries.shape[1]), np.sqrt((queries * queries).sum(1))
+        limit, out = chi_square_bound(sure, DIMS), []
+        for q in range(len(queries)):
+            far = gaps(asked[q : q + 1], self.low, self.high)[0]
+            best_s, best_i, least = np.zeros(0), np.zeros(0, np.int64), reach[q]
+            for f in np.argsort(far, kind="stable"):
+                if far[f] > limit * least:
+                    break
+                a, b = self.bounds[f]
+                score = (self.vectors[a:b] * queries[q]).sum(1) / (self.norm[a:b] * qnorm[q])
+                s, i = np.concatenate([best_s, score]), np.concatenate([best_i, np.arange(a, b)])
+                top = np.lexsort((self.ids[i], -s))[:k]
+                best_s, best_i = s[top], i[top]
+                if len(best_s) == k:
+                    least = min(least, max(2 - 2 * best_s[-1], 0.0) + 1e-12)
+            out += zip([q] * len(best_i), best_i.tolist(), best_s.tolist(), strict=True)
+        return out
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _placed(rows: DataFrame, cuts: list[tuple[int, float, int, int]], width: int, schema: str) -> DataFrame:
+    """``rows`` with v, and the region of each, in the shared folder."""
+    def run(stream):
+        for batch in stream:
+            if batch.num_rows:
+                m = _matrix(batch.column("v"), width)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place(units(m) @ directions(width), cuts))], [*batch.schema.names, "region"])
 
+    return shared_checkpoint(rows.mapInArrow(run, f"{schema}, region long"))
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in column])
+
+def _look(width: int, want: int):
+    """Rows sorted by (region, salt, kind) to what each query (kind 1) finds among the vectors (kind 0) of its cell.
+
+    Only one cell's vectors are held, a bounded number; queries go past in batches, however many a cell gets.
+    """
+    def run(stream):
+        at, held, cell = None, [], None
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            region, salt, kind = (batch.column(c).to_numpy() for c in ("region", "salt", "kind"))
+            new = np.flatnonzero((region[1:] != region[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                if (region[a], salt[a]) != at:
+                    at, held, cell = (region[a], salt[a]), [], None
+                part = batch.slice(a, b - a)
+                ids, m = part.column("id").to_numpy(), _matrix(part.column("v"), width)
+                if kind[a] == 0:
+                    held.append((ids, part.column("copies").to_numpy(), m))
+                elif held:
+                    cell = cell or Cell(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    found = cell.search(m, part.column("reach").to_numpy(), want)
+                    q, i, score = (np.array(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(cell.ids[i]), pa.array(cell.copies[i]), pa.array(score, pa.float64())], ["asker", "vec_id", "copies", "score"])
+
+    return run
 
 
 def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -155,48 +199,49 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     ``vectors`` has vec_id and embedding. Rows take no part if vec_id or embedding is null, a component is null or not
     finite, all are zero, or the width is not the most common one. A row never finds its own vec_id; rows that repeat
-    another vec_id count once for each row. Ties go to the smaller vec_id. Scores are cosines in double precision. Only the
-    sample, the cuts and a count for each region reach the driver.
+    another vec_id count once for each row, and repeated query rows are answered once,
+    those with one vec_id and several vectors for each vector. Ties go to the smaller vec_id.
+    Scores are cosines in double precision. Only the sample, the cuts and a count for each region reach the driver.
+
+    Equal vectors score alike. So of those only the k + 1 smallest vec_ids are candidates, which is all that any query can
+    take of them, and equal queries are searched once.
     """
     spark = importable(vectors.sparkSession)
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(sound, F.lit(False)))
+    item = vectors.schema["embedding"].dataType.elementType
+    item = "float" if isinstance(item, T.FloatType) else "double"  # in four bytes where that is how they came
+    doubles = F.transform("v", lambda x: x.cast("double"))
+    sound = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(doubles, lambda x: x != 0)
+    good = vectors.select("vec_id", F.col("embedding").cast(f"array<{item}>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(sound, F.lit(False)))
     widths = good.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").head(1)
-    schema = "query_id long, rank int, vec_id long, score double"
     if not widths:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, n = widths[0]
     good = good.where(F.size("v") == width)
     sample = good.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()
-    cuts = region_cuts(units(_matrix(sample["v"])) @ directions(width), -(-n // CELL))
-
-    def assign(stream):
-        for batch in stream:
-            if batch.num_rows:
-                m = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place(units(m) @ directions(width), cuts))], [*batch.schema.names, "region"])
+    cuts = region_cuts(units(np.stack([np.asarray(x, np.float64) for x in sample["v"]])) @ directions(width), -(-n // CELL))
 
-    placed = shared_checkpoint(good.mapInArrow(assign, "vec_id long, v array<double>, region long"))
+    # dense_rank: map tasks send no more than k + 1 ids of a vector; the aggregate keeps that partitioning
+    low = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = good.withColumn("low", low).where(F.col("low") <= k + 1).groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("copies"))
+    placed = _placed(few.select("vec_id", "copies", "v"), cuts, width, f"vec_id long, copies long, v array<{item}>")
     sizes = {r["region"]: max(1, -(-r["n"] // CELL)) for r in placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()}
     cells = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    data = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), cells[F.col("region")]).cast("int")).select("region", "salt", "vec_id", "v")
-    asked = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "region")
+    salt = lambda name: F.pmod(F.xxhash64(name, "v"), F.coalesce(cells[F.col("region")], F.lit(1))).cast("int").alias("salt")
+    data = placed.select("region", salt("vec_id"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "copies", "v", F.lit(0.0).alias("reach"))
 
-    def look(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        found = search(own["vec_id"].to_numpy(), _matrix(own["v"]), queries["asker"].to_numpy(), _matrix(queries["q"]), queries["reach"].to_numpy(np.float64), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+    askers = shared_checkpoint(good.where(F.col("vec_id") % every == 0).distinct())
+    own = askers.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    want = k + own  # a query's own id, mostly once, is left out of what is found
+    classes = _placed(askers.groupBy("v").agg(F.min("vec_id").alias("first")).select(F.xxhash64("v", "first").alias("asker"), "v"), cuts, width, f"asker long, v array<{item}>")
 
     def probed(queries: DataFrame) -> DataFrame:
-        # names of its own: columns that both sides take from one table would be taken for the same
-        own = queries.select(F.col("region").alias("to_region"), F.col("salt").alias("to_salt"), F.col("query_id").alias("asker"), F.col("v").alias("q"), F.col("kth").alias("reach"))
-        return data.groupBy("region", "salt").cogroup(own.groupBy("to_region", "to_salt")).applyInPandas(look, "query_id long, vec_id long, score double")
+        asked = queries.select("region", "salt", F.lit(1).alias("kind"), F.col("asker").alias("id"), F.lit(0).cast("long").alias("copies"), "v", F.col("kth").alias("reach"))
+        rows = data.unionByName(asked).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind")
+        return rows.mapInArrow(_look(width, want), "asker long, vec_id long, copies long, score double")
 
-    home = asked.withColumn("salt", F.pmod(F.xxhash64("query_id"), cells[F.col("region")]).cast("int")).withColumn("kth", F.lit(4.0))
-    reached = probed(home.select("region", "salt", "query_id", "v", "kth")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
-    kth = reached.select("query_id", F.when(F.col("n") >= k, F.greatest(2 - 2 * F.col("s"), F.lit(0.0)) + 1e-12).otherwise(4.0).alias("kth"))
+    home = classes.select("region", salt("asker"), "asker", "v", F.lit(4.0).alias("kth"))
+    reached = probed(home).groupBy("asker").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
+    kth = reached.select("asker", F.when(F.col("n") >= want, F.greatest(2 - 2 * F.col("s"), F.lit(0.0)) + 1e-12).otherwise(4.0).alias("kth"))
 
     def route(stream):
         low, high = boxes(cuts)
@@ -204,16 +249,20 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         for batch in stream:
             if not batch.num_rows:
                 continue
-            m = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
-            near = gaps(units(m) @ directions(width), low, high) <= limit * batch.column("kth").to_numpy()[:, None]
+            near = gaps(units(_matrix(batch.column("v"), width)) @ directions(width), low, high) <= limit * batch.column("kth").to_numpy()[:, None]
             rows, regions = np.nonzero(near)
             goes = [(i, r, s) for i, r in zip(rows.tolist(), regions.tolist(), strict=True) for s in range(sizes.get(r, 0))]
             if goes:
                 i, r, s = (list(x) for x in zip(*goes, strict=True))
-                picked = batch.select(["query_id", "v", "kth"]).take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int32()), *picked.columns], ["region", "salt", "query_id", "v", "kth"])
-
-    far = asked.join(kth, "query_id", "left").select("query_id", "v", F.coalesce("kth", F.lit(4.0)).alias("kth"))
-    routed = far.mapInArrow(route, "region long, salt int, query_id long, v array<double>, kth double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return probed(routed).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                picked = batch.select(["asker", "v", "kth"]).take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int32()), *picked.columns], ["region", "salt", "asker", "v", "kth"])
+
+    far = classes.join(kth, "asker", "left").select("asker", "v", F.coalesce("kth", F.lit(4.0)).alias("kth"))
+    routed = far.mapInArrow(route, f"region long, salt int, asker long, v array<{item}>, kth double")
+    best = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
+    top = probed(routed).withColumn("at", best).where(F.col("at") <= want)
+    lists = top.groupBy("asker").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "copies", "score"))).alias("found"))
+    others = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))
+    rows = F.flatten(F.transform(others, lambda x: F.array_repeat(F.struct(x["vec_id"].alias("vec_id"), x["score"].alias("score")), F.least(x["copies"], F.lit(k)).cast("int"))))
+    answered = askers.join(classes.select("asker", "v"), "v").select(F.col("vec_id").alias("query_id"), "asker").join(lists, "asker")
+    return answered.select("query_id", F.posexplode(F.slice(rows, 1, k)).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")

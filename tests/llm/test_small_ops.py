@@ -139,5 +139,22 @@ def test_neighbours_odd_rows(spark, monkeypatch):
     assert nearest.neighbours(vectors.where("vec_id in (100, 101, 3)")).count() == 2
 
 
+def test_neighbours_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CELL", 16)
+    rnd = np.random.default_rng(5)
+    rows = [(i, rnd.standard_normal(8).astype("float32").tolist()) for i in range(1, 400)] + [(i, [1.0, 2.0] * 4) for i in range(1000, 2500)]
+    rows += [(3, rows[2][1]), (7, [1.0, 2.0] * 4), (7, [1.0, 2.0] * 4), (7, [1.0, 2.0] * 4)]
+    got = {}
+    for r in nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = {}
+    for q, r, v, _ in brute_neighbours(rows, 5, 50):
+        want.setdefault(q, []).append((r, v))
+    assert got.keys() == want.keys() and all(sorted(got[q]) == want[q] for q in want if q >= 1000)
+    assert sorted(got[1000]) == [(1, 7), (2, 7), (3, 7), (4, 1001), (5, 1002)]
+    again = spark.createDataFrame(rows + [(1000, [1.0, 2.0] * 4)] * 3, "vec_id long, embedding array<double>")
+    assert sorted((r["rank"], r.vec_id) for r in nearest.neighbours(again).where("query_id = 1000").collect()) == sorted(got[1000])
+
+
 def test_chi_square():
     assert abs(nearest.chi_square_bound(0.95, 8) - 15.507) < 1e-3
