@@ -35,11 +35,14 @@ def bloom_probe(items: DataFrame, key: str, item: str, bits: DataFrame, m: int =
 
 
 def minhash(sets: DataFrame, key: str, item: str, n_hashes: int = 100) -> DataFrame:
-    """(key, seed, min_hash): one pass, n minima for each set, combined before the shuffle."""
-    items = sets.where(F.col(item).isNotNull())
-    mins = items.groupBy(key).agg(*[F.min(stable_hash(item, s)).alias(f"h{s}") for s in range(n_hashes)])
-    pairs = F.array(*[F.struct(F.lit(s).cast("long").alias("seed"), F.col(f"h{s}").alias("min_hash")) for s in range(n_hashes)])
-    return mins.select(key, F.inline(pairs))
+    """(key, seed, min_hash): minima of each set, combined before the shuffle.
+
+    Seeds become rows before they are aggregated: were they aggregates over the items, the optimiser would take a
+    ``distinct`` below them for useless, and every repeat of an item would be hashed.
+    """
+    hashes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n_hashes - 1).cast("long")), lambda s: F.struct(s.alias("seed"), stable_hash(item, s).alias("_h")))
+    items = sets.where(F.col(item).isNotNull()).select(key, F.inline(hashes))
+    return items.groupBy(key, "seed").agg(F.min("_h").alias("min_hash"))
 
 
 def signature(mins: DataFrame, key: str) -> DataFrame:
