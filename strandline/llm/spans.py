@@ -264,24 +264,42 @@ def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _remove(stream):
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int64()))}
-    for batch in stream:
-        rows = []
-        for doc, text, ranges in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
-            raw = (text.as_py() or "").encode()
-            spans = merged(ranges)
-            kept, at = hashlib.sha256(), 0
-            for a, b in spans:
-                kept.update(raw[at:a])
-                at = b
-            kept.update(raw[at:])
-            rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [list(s) for s in spans]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
-
-
-def repeated_spans(docs: DataFrame, width: int = 100, held: int = inducing.HELD) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row of ``docs`` (doc_id, text, …).
+KINDS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int64()))}
+
+
+def _remove(with_bytes: bool):
+    """Rows (doc_id, text, ranges) to what is removed, and to the bytes that remain if they are asked for."""
+    kinds = KINDS | ({"kept": pa.binary()} if with_bytes else {})
+
+    def run(stream):
+        for batch in stream:
+            rows, held = [], 0
+            for doc, text, ranges in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
+                raw = (text.as_py() or "").encode()
+                spans = merged(ranges)
+                kept, at, parts = hashlib.sha256(), 0, []
+                for a, b in [*spans, (len(raw), len(raw))]:
+                    kept.update(raw[at:a])
+                    if with_bytes:
+                        parts.append(raw[at:a])
+                    at = b
+                rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [list(s) for s in spans], b"".join(parts)))
+                held += len(rows[-1][-1])
+                if held > 16 << 20:
+                    yield _rows(rows, kinds)
+                    rows, held = [], 0
+            if rows:
+                yield _rows(rows, kinds)
+
+    return run
+
+
+def _rows(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
+def repeated_spans(docs: DataFrame, width: int = 100, held: int = inducing.HELD, with_bytes: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row of ``docs`` (doc_id, text, …); with_bytes adds kept.
 
     Removed are all bytes in a ``width``-byte string that also starts earlier: in a row with a smaller doc_id, or at an
     earlier place of a row with the same one. A null doc_id counts as smaller than all. Rows that repeat a doc_id and text
@@ -303,24 +321,10 @@ def repeated_spans(docs: DataFrame, width: int = 100, held: int = inducing.HELD)
     shards = blocks.repartition("route").sortWithinPartitions("route", "before", "edges", "key", "start").mapInArrow(_sort_shard(width, held), "key long, print long, low long, high long")
     ranges = whole.unionByName(shards).groupBy("key", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     found = given.join(ranges.hint("shuffle_hash"), ["key", "print"], "left").select("doc_id", "text", "ranges")
-    return found.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    more = ", kept binary" if with_bytes else ""
+    return found.mapInArrow(_remove(with_bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>{more}")
 
 
 def deduplicated(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc_id, kept): the bytes that remain of each row."""
-    spans = repeated_spans(docs, width).select("doc_id", "spans", "n_bytes")
-
-    def run(stream):
-        for batch in stream:
-            out = []
-            for text, cut in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw, kept, at = (text or "").encode(), [], 0
-                for a, b in cut:
-                    kept.append(raw[at:a])
-                    at = b
-                out.append(b"".join([*kept, raw[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "kept"])
-
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    both = docs.select("doc_id", "text").withColumn("n_bytes", size).join(spans.distinct(), ["doc_id", "n_bytes"])
-    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary")
+    """(doc_id, kept): the bytes that remain of each row. Rows with one doc_id and different texts each keep their own."""
+    return repeated_spans(docs, width, with_bytes=True).select("doc_id", "kept")

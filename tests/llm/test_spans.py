@@ -66,3 +66,5 @@ def test_odd_rows(spark):
     assert spans.repeated_spans(docs.where("false")).count() == 0
     twins = spark.createDataFrame([(1, a), (1, a), (2, a)], "doc_id long, text string")
     assert [r.n_removed for r in spans.repeated_spans(twins).orderBy("doc_id").collect()] == [0, 0, 500]
+    same = spark.createDataFrame([(1, a), (2, a[::-1]), (2, a), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, len(r.kept)) for r in spans.deduplicated(same).collect()) == [(1, 500), (2, 0), (2, 500), (3, 0)]
