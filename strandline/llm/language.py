@@ -70,6 +70,8 @@ class Model:
 
 def fit(rows: list[tuple[str, str]], alpha: float = 0.5) -> Model:
     languages = sorted({y for _, y in rows})
+    if not languages:
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.uint16))
     counts = np.full((1 << BITS, len(languages)), 0.0)
     letters = np.zeros((len(languages), len(SCRIPTS)))
     for text, y in rows:
