@@ -171,6 +171,25 @@ def bloom_probe(spark, sf_dir):
     return sketches.bloom_probe(strands, "read_id", "s", sketches.bloom_bits(strands.where("read_id % 2 = 0"), "s"))
 
 
+@query(f"WITH {READS_SQL} SELECT DISTINCT bit::BIGINT AS bit FROM ({_slots_sql('true')})")
+def bloom_bits_all(spark, sf_dir):
+    """The bits of every read; bloom_bits has those of even ids."""
+    return sketches.bloom_bits(reads(spark, sf_dir), "s")
+
+
+@query(f"""WITH {READS_SQL}, b AS (SELECT DISTINCT bit FROM ({_slots_sql('true')})),
+  p AS (SELECT read_id, true AS member, s FROM reads UNION ALL SELECT read_id, false AS member, reverse(s) AS s FROM reads),
+  q AS (SELECT read_id, member, {HASH_SQL.format(x='s', seed='seed')} % 50000 AS bit FROM (SELECT read_id, member, s, unnest(range(0, 5)) AS seed FROM p))
+  SELECT q.read_id, q.member, bool_and(b.bit IS NOT NULL) AS maybe FROM q LEFT JOIN b ON q.bit = b.bit GROUP BY q.read_id, q.member""")
+def bloom_probe_all(spark, sf_dir):
+    """Every read is inserted; reads and, as strangers, reads spelled backwards are looked up."""
+    strands = reads(spark, sf_dir)
+    bits = sketches.bloom_bits(strands, "s")
+    members = sketches.bloom_probe(strands, "read_id", "s", bits).withColumn("member", F.lit(True))
+    others = sketches.bloom_probe(strands.withColumn("s", F.reverse("s")), "read_id", "s", bits).withColumn("member", F.lit(False))
+    return members.unionByName(others).select("read_id", "member", "maybe")
+
+
 MINHASH_SQL = f"""{READS_SQL}, k AS (SELECT DISTINCT lang, substr(s, i, 6) AS kmer FROM (SELECT lang, s, unnest(range(1, length(s) - 4)) AS i FROM reads)),
   m AS (SELECT lang, seed::BIGINT AS seed, min({HASH_SQL.format(x='kmer', seed='seed')}) AS min_hash
     FROM (SELECT lang, kmer, unnest(range(0, 16)) AS seed FROM k) GROUP BY lang, seed)"""
