@@ -12,6 +12,7 @@ less or more by it. A logistic model of the weighed hits, fitted to the same sam
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ from strandline.llm import learning
 from strandline.llm import textbuf as T
 from strandline.sources.shared import importable
 
-#: Labelled texts that are learned from, and entries of each kind, at most.
-SAMPLE, WORDS, STEMS = 4_000, 60, 40
+#: Labelled texts that are learned from, at most.
+SAMPLE = 4_000
 #: Tokens to each side of a hit that make its context.
 WINDOW = 6
 #: Entries of fewer bytes must be spelled exactly.
@@ -101,12 +102,14 @@ def compile_lexicon(words: list[str], stems: list[str]) -> Lexicon:
     order = [frozenset(), first]
     rows = []
     for pairs in order:
+        past = pairs == done or any(n in stem and e == 0 for n, e in pairs)
+        onward = set() if past else {b for node, _ in pairs for b in trie[node]}  # all other letters lead to one state
         row = []
         for letter in [None, *letters]:
-            if not pairs:
-                row.append(0)
+            if not pairs or (letter is not None and letter not in onward):
+                row.append(row[0] if row else 0)
                 continue
-            after = done if pairs == done or any(n in stem and e == 0 for n, e in pairs) else step(pairs, letter)
+            after = done if past else step(pairs, letter)
             if after not in states:
                 states[after] = len(order)
                 order.append(after)
@@ -123,8 +126,43 @@ def _tokens(text: str) -> set[str]:
     return {low[a:b].decode("utf-8", "ignore") for a, b in zip(start.tolist(), end.tolist(), strict=True)}
 
 
+def _words_by_chance(a: int, b: int, share: float) -> float:
+    """That at most ``b`` of a + b places are clean, each being toxic with probability ``share``."""
+    log = lambda j: math.lgamma(a + b + 1) - math.lgamma(j + 1) - math.lgamma(a + b - j + 1)
+    return sum(math.exp(log(j) + (a + b - j) * math.log(share) + j * math.log1p(-share)) for j in range(b + 1))
+
+
+def _texts_by_chance(seen: int, usual: float) -> float:
+    """The Poisson probability of at least ``seen`` where ``usual`` are expected."""
+    if seen <= usual:
+        return 1.0
+    term, total, j = math.exp(seen * math.log(usual) - usual - math.lgamma(seen + 1)), 0.0, seen
+    while term > 1e-9 * total:
+        total, j = total + term, j + 1
+        term *= usual / j
+    return total
+
+
+def _one_of_copies(texts: list[set[str]], alike: float = 0.5) -> list[set[str]]:
+    """One text of each group of near copies, the largest: what copies share is evidence only once."""
+    texts = sorted((v for v in texts if v), key=lambda v: (-len(v), sorted(v)))
+    odd = np.random.default_rng(0).integers(1 << 63, size=16, dtype=np.uint64) | np.uint64(1)
+    kept: dict[tuple, list[int]] = defaultdict(list)
+    out = []
+    for i, v in enumerate(texts):
+        codes = np.array([zlib.crc32(w.encode()) for w in v], np.uint64)
+        least = np.array([((codes + np.uint64(1)) * k >> np.uint64(20)).min() for k in odd]).reshape(8, 2).tolist()
+        bands = [(n, *pair) for n, pair in enumerate(least)]
+        if not any(len(v & texts[j]) >= alike * len(v | texts[j]) for j in {j for b in bands for j in kept[b]}):
+            out.append(v)
+            for b in bands:
+                kept[b].append(i)
+    return out
+
+
 def choose_entries(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
-    """(words, stems) that tell toxic texts from the others by document counts."""
+    """(words, stems) that tell toxic texts from the others by document counts: all whose evidence is such that chance gives
+    at most one entry of the kind. Words of many toxic texts also enter where the sample is too small for that."""
     toxic, clean = Counter(), Counter()
     sets = [(_tokens(t), y) for t, y in rows]
     n1 = max(sum(1 for _, y in sets if y), 1)
@@ -132,34 +170,52 @@ def choose_entries(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     for words, y in sets:
         (toxic if y else clean).update(words)
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+    size1, size = sum(len(v) for v, y in sets if y), sum(len(v) for v, _ in sets) or 1
+    share = min(max(size1 / size, n1 / (n1 + n0)), 1 - 1e-9)
+    # words too rare to be evidence in any case are not counted as tests
+    times = Counter(toxic[w] + clean[w] for w in toxic.keys() | clean.keys() if len(w) >= 3)
+    tests = lambda k: sum(n for t, n in times.items() if t >= k)
+    tried = tests(next(k for k in range(3, len(sets) + 4) if share**k * tests(k) <= 1 or k > len(sets)))
     least = max(3, 0.08 * n1)
-    good = sorted(((-toxic[w] * odds(toxic[w], clean[w]), w) for w in toxic if toxic[w] >= least and len(w) >= 3 and odds(toxic[w], clean[w]) > 3 and clean[w] <= 0.002 * n0))
-    words = [w for _, w in good[:WORDS]]
-    # stems are judged by how often their words stand in a text of a given length, in the texts that no word explains
-    known = set(words)
-    size0 = sum(len(v) for v, y in sets if not y) or 1
-    rest = [v for v, y in sets if y and not v & known]
-    size1 = sum(map(len, rest)) or 1
+    apart = _one_of_copies([v for v, y in sets if y])
+    told = Counter(w for v in apart for w in v)
+    able = (w for w in toxic if toxic[w] >= 3 and len(w) >= 3 and odds(toxic[w], clean[w]) > 3 and clean[w] <= 0.002 * n0)
+    good = [w for w in able if toxic[w] >= least or (told[w] >= 3 and _words_by_chance(told[w], clean[w], share) * tried <= 1)]
+    words = sorted(good, key=lambda w: (-toxic[w] * odds(toxic[w], clean[w]), w))
+    # stems: heavy ones for the length of the texts that no frequent word explains, and all that enough toxic texts have
+    known = {w for w in words if toxic[w] >= least}
+    clean_sets = [v for v, y in sets if not y]
+    best: list[str] = []
+    for texts, by_weight in (([v for v, y in sets if y and not v & known], True), (apart, False)):
+        for p in _stems(texts, clean_sets, by_weight):
+            if not any(p.startswith(q) or q.startswith(p) for q in best):
+                best.append(p)
+    return words, best
+
+
+def _stems(texts: list[set[str]], clean: list[set[str]], by_weight: bool) -> list[str]:
+    """Stems of toxic ``texts``, the heaviest first: those far heavier than chance stems, or those whose evidence by texts is
+    such that chance gives at most one (long texts have most stems anyway)."""
+    size1, size0 = sum(map(len, texts)) or 1, sum(map(len, clean)) or 1
     spread, docs1, all1, all0 = defaultdict(set), Counter(), Counter(), Counter()
-    for words_of in rest:
+    for words_of in texts:
         grouped = Counter(w[:n] for w in words_of for n in range(4, min(len(w), 10)))
         all1.update(grouped)
         docs1.update(grouped.keys())
         for w in words_of:
             for n in range(4, min(len(w), 10)):
                 spread[w[:n]].add(w)
-    usual = {p for p, c in docs1.items() if c >= max(3, 0.04 * len(rest)) and len(spread[p]) >= 4}
-    for words_of, y in sets:
-        if not y:
-            all0.update(p for w in words_of for n in range(4, min(len(w), 10)) if (p := w[:n]) in usual)
+    least = max(3, 0.04 * len(texts)) if by_weight else 3
+    usual = {p for p, c in docs1.items() if c >= least and len(spread[p]) >= 4}
+    for words_of in clean:
+        all0.update(p for w in words_of for n in range(4, min(len(w), 10)) if (p := w[:n]) in usual)
     rate = {p: math.log((all1[p] / size1) / ((all0[p] + 0.5) / size0)) for p in usual}
-    best: list[str] = []
     weight = {p: all1[p] * max(rate[p], 0) ** 2 for p in usual}
     top = max(weight.values(), default=0)  # chance stems are many, and far lighter than the others
-    for p in sorted(usual, key=lambda p: (-weight[p], -len(p), p)):
-        if rate[p] > 2 and weight[p] > 0.06 * top and not any(p.startswith(q) or q.startswith(p) for q in best):
-            best.append(p)
-    return words, best[:STEMS]
+    lengths = np.array([len(v) for v in texts], float)
+    expected = lambda p: float(-np.expm1(-lengths * (all0[p] + 0.5) / size0).sum())
+    enough = lambda p: weight[p] > 0.06 * top if by_weight else _texts_by_chance(docs1[p], expected(p)) * len(docs1) <= 1
+    return sorted((p for p in usual if rate[p] > 2 and enough(p)), key=lambda p: (-weight[p], -len(p), p))
 
 
 def _context(data: bytes, start: np.ndarray, end: np.ndarray, i: int, low: int, high: int) -> float:
@@ -261,7 +317,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     with none.
     """
     spark = importable(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the numbers of entries
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     given = docs.withColumn("held_out", learning.held_out()) if keep is None else docs
     keep = ["doc_id", "held_out"] if keep is None else keep
     given = given.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("text"))
