@@ -3,7 +3,7 @@
 Texts and items are sequences of tokens: letters and digits, A-Z in lower case, punctuation ignored. Runs of SEED tokens
 that an item shares name the documents and the stretches worth a look. In these, tiles are laid greedily: with running
 Karp-Rabin hashes, windows of one length are looked up, matches grown to their full length, and the longest ones that
-overlap no tile marked, before windows get shorter. Tiles may lie in any order, so reordered passages add up. An item whose
+overlap no tile marked, before windows get shorter; of a match that a longer tile cuts, the free parts are matches still. Tiles may lie in any order, so reordered passages add up. An item whose
 tokens are covered to COVER of their number contaminates the document.
 
 Items go to every task, in blocks of at most BLOCK_TOKENS tokens; a larger benchmark takes more passes over the documents.
@@ -12,6 +12,7 @@ Items go to every task, in blocks of at most BLOCK_TOKENS tokens; a larger bench
 from __future__ import annotations
 
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,10 @@ def _rolling(h: np.ndarray, n: int, free: np.ndarray) -> dict[int, list[int]]:
 
 
 def tile(item: np.ndarray, text: np.ndarray, least: int = SEED, usable: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(place in item, place in text, length) of the tiles. ``usable`` marks the tokens of ``text`` that may be covered."""
+    """(place in item, place in text, length) of the tiles. ``usable`` marks the tokens of ``text`` that may be covered.
+
+    Each size ends when no match of that length is free: all of them are parts of those found, which are cut as tiles are laid.
+    """
     item_free = np.ones(len(item), bool)
     text_free = np.ones(len(text), bool) if usable is None else usable.copy()
     tiles, size = [], max(least, len(item))
@@ -58,15 +62,25 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = SEED, usable: np.ndarr
             for key, starts in _rolling(item, size, item_free).items():
                 for i in starts:
                     for j in places.get(key, ()):
+                        if i and j and item_free[i - 1] and text_free[j - 1] and item[i - 1] == text[j - 1]:
+                            continue  # part of the match that begins before
                         n = 0
                         while i + n < len(item) and j + n < len(text) and item_free[i + n] and text_free[j + n] and item[i + n] == text[j + n]:
                             n += 1
                         if n >= size:
                             found.append((-n, i, j))
-        for n, i, j in sorted(found):
-            if item_free[i : i - n].all() and text_free[j : j - n].all():
+        heapify(found)
+        while found:
+            n, i, j = heappop(found)
+            free = item_free[i : i - n] & text_free[j : j - n]
+            if free.all():
                 item_free[i : i - n] = text_free[j : j - n] = False
                 tiles.append((i, j, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]))).tolist()
+            for low, high in zip(edges[::2], edges[1::2], strict=True):  # what a longer tile left free is still a match
+                if high - low >= size:
+                    heappush(found, (low - high, i + low, j + low))
         if size == least:
             return tiles
         size = max(least, size // 2)
