@@ -7,8 +7,9 @@ a queue on disk that holds (symbol, time, position, common prefix): sorted runs
 
 The common prefix of two neighbours that a pass gives to one symbol is one more than the least common prefix between those
 that induced them. A stack of falling minima over the output answers that when an entry is made, so that it is carried in
-the tuple. Common prefixes are cut off at ``cap``. Output goes to files as it is made; memory holds the queue's buffer, the
-stack, a block of output and a last time for each symbol in use.
+the tuple. Common prefixes are cut off at ``cap``. Output goes to files as it is made. Memory holds the queue's buffer, the
+stack, a block of output and a last time for each symbol in use, but also types and runs of the text, names, order and
+prefixes of the S* suffixes, and a class of equal windows: several arrays of 64 bits, in proportion to the shard's text.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ mostly one anchor. Windows with one anchor are a stretch, and a stretch is a sha
    removed like equal stretches. The rest of each shard is a text whose suffixes are sorted by ``inducing``: with queues on disk, common
    prefixes carried along. Runs of prefixes of the full width are equal windows; all but the earliest are removed.
 
-Memory is bounded in all steps; only hashes of stretches, and texts of ambiguous ones, are shuffled. The two results are
+Memory is not bounded by a route: see ``inducing``, and the lists of ``_sort_shard`` last until its task ends. Only hashes of stretches, and texts of ambiguous ones, are shuffled. The two results are
 joined to the documents by id and a fingerprint of the text.
 """
 
