@@ -41,6 +41,29 @@ def test_mix_odd_rows(spark):
     assert mixing.plan(docs.drop("_size").where("false")).count() == 0 and mixing.mix(docs.drop("_size")).count() > 0
 
 
+def test_mix_takes_what_the_plan_says(spark):
+    rows = [(i * 7_919_113, "ab"[i % 2], "w " * (i % 40)) for i in range(400)] + [(1, "a", "one text")] * 5 + [(1, "a", "other"), (1, "b", "one text"), (None, None, None), (None, "a", "n n"), (None, "a", "m m m")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    key = ["doc_id", "source", "text"]
+    want = sorted((tuple(r) for r in mixing.plan(docs).select("doc_id", "source", "size", "copies").where("copies > 0").collect()), key=repr)
+    for block in (16, mixing.BLOCK):  # cells of any size give the same places, whatever the ids
+        assert sorted((tuple(r) for r in mixing.plan(docs.repartition(3), block=block).select("doc_id", "source", "size", "copies").where("copies > 0").collect()), key=repr) == want
+    mixed = mixing.mix(docs, block=16)
+    by_plan = mixing.plan(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c")).where("c > 0")
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ ]+")).cast("long").alias("size")
+    by_rows = mixed.select("doc_id", "source", size).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("c"))
+    assert mixed.columns == key and sorted(by_plan.collect(), key=repr) == sorted(by_rows.collect(), key=repr)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["target", "_rank", "source_size", "_k", "_u", "_copies", "_class", "_block", "_size", "_row", "_m", "_mark", "_i", "r", "u", "n", "before", "k", "mark", "copies", "col", "_id", "_source"]
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * i) for i in range(30)], "doc_id long, source string, text string")
+    odd = docs.withColumns({x: F.lit(1) for x in names})
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.select(*names).distinct().collect() == [(1,) * len(names)]
+    assert sorted(mixed.select("doc_id").collect()) == sorted(mixing.mix(docs).select("doc_id").collect())
+
+
 def test_mix_levels(spark):
     docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate([("a", 1), ("b", 100), ("c", 50), ("d", 10)])], "doc_id long, source string, text string")
     got = {r.source: r.target for r in mixing.plan(docs).collect()}
