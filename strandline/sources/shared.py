@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 
@@ -20,7 +22,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
     context.setCheckpointDir(named)
-    return context._jsc.sc().getCheckpointDir().get()
+    return passing(spark, context._jsc.sc().getCheckpointDir().get())
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver's Python ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already, and its files with the cluster
+            files.delete(where, True)
+
+    atexit.register(delete)
+    return path
 
 
 def shared_checkpoint(frame: DataFrame) -> DataFrame:
