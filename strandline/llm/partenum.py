@@ -122,7 +122,7 @@ def _name_sets(width: int):
     def run(stream):
         for rows, data, at in T.batches(stream):
             sets = [(len(s), set_id(s) if len(s) else None, sketch(T.mix(s)).tobytes() if len(s) else None) for s in shingle_sets(data, at, width)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n_shingles", "set_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("mark"), *[pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "mark", "n_shingles", "set_id", "sketch"])
 
     return run
 
@@ -363,19 +363,15 @@ def _features(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, n2: int = 2, k2: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text, …).
-
-    Links: 100 * common >= percent * union of the distinct ``width``-word shingles. component_id is the least doc_id that
-    links reach, itself included. Texts without words are empty sets, linked with nothing. A row without doc_id keeps a
-    null component_id and joins nothing; repeated rows come back as often. Other columns are ignored.
-    """
+def _classes(docs: DataFrame, percent: int, width: int, n2: int, k2: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n_shingles, set_id) of each row of ``docs``, mark being a hash of its text, and (set_id, root, component_id)
+    of each set that has a doc_id: root names its component."""
     importable(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    named = shared_checkpoint(docs.mapInArrow(_name_sets(width), "doc_id long, n_shingles long, set_id long, sketch binary"))
+    docs = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
+    named = shared_checkpoint(docs.mapInArrow(_name_sets(width), "doc_id long, mark long, n_shingles long, set_id long, sketch binary"))
     texts = docs.where(F.col("doc_id").isNotNull())
-    first = named.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    first = shared_checkpoint(first)
+    first = named.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    first = shared_checkpoint(first.select("set_id", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("rep_mark"), "n", "sketch"))
     signed = texts.select("text").mapInArrow(_sign_sets(width, percent, n2, k2), "sig long, set_id long")
     groups = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_groups, "grp long, set_id long").distinct()
     groups = shared_checkpoint(groups)
@@ -386,18 +382,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, n2: int
 
     sized = near.join(first.drop("sketch"), F.col("node") == F.col("set_id"))
     total = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("parts"))
-    asked = sized.join(total, "root").select(F.col("rep").alias("doc_id"), "set_id", F.col("root").alias("comp"), "parts")
-    sets = asked.join(texts, "doc_id").select("set_id", "comp", "parts", "text").mapInArrow(_features(width), "set_id long, comp long, parts int, features array<long>")
+    asked = sized.join(total, "root").select(F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark"), "set_id", F.col("root").alias("comp"), "parts")
+    sets = asked.join(texts, ["doc_id", "mark"]).select("set_id", "comp", "parts", "text").mapInArrow(_features(width), "set_id long, comp long, parts int, features array<long>")
     links = _in_blocks(sets, "comp").mapInArrow(_searched(["comp", "x", "y"], _by_features(percent)), "a long, b long")
-    joined = components(links)
-    least = shared_checkpoint(_least(joined, first))
-    out = named.drop("sketch").join(least, "set_id", "left")
+    return named.drop("sketch"), shared_checkpoint(_least(components(links), first))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, n2: int = 2, k2: int = 1) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text, …).
+
+    Links: 100 * common >= percent * union of the distinct ``width``-word shingles. component_id is the least doc_id that
+    links reach, itself included. Texts without words are empty sets, linked with nothing. A row without doc_id keeps a
+    null component_id and joins nothing; repeated rows come back as often. Rows with one doc_id and different texts are
+    documents of their own, each with the component of its text. Other columns are ignored; an empty table gives none.
+    """
+    named, least = _classes(docs, percent, width, n2, k2)
+    out = named.join(least.drop("root"), "set_id", "left")
     own_rep = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own_rep.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, n2: int = 2, k2: int = 1) -> DataFrame:
+    """A row of ``docs`` (doc_id, text, …) for each class of linked texts, with all its columns, whatever these are called.
+
+    It is the one with the least doc_id; if that has several texts in the class, the least by hash. Rows that repeat it
+    count once, as do those with one doc_id and a text without words, which is a class of its own. Rows without doc_id are
+    in no class and all stay.
+    """
+    named, least = _classes(docs, percent, width, n2, k2)
+    known = named.where("doc_id is not null").join(least.select("set_id", "root"), "set_id", "left")
+    chosen = known.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "set_id", "mark")).alias("x")).select("x.doc_id", "x.mark")
+    kept = chosen.unionByName(known.where("root is null").select("doc_id", "mark")).select(F.struct("doc_id", "mark").alias("_kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    own = rows.where(F.col("_row.doc_id").isNotNull()).withColumn("_name", F.struct(F.col("_row.doc_id").alias("doc_id"), F.xxhash64("_row.text").alias("mark")))
+    first = own.join(kept, F.col("_name") == F.col("_kept"), "left_semi").dropDuplicates(["_name"]).select("_row")
+    return first.unionByName(rows.where(F.col("_row.doc_id").isNull())).select("_row.*")
+
+
 def _least(joined: DataFrame, first: DataFrame) -> DataFrame:
-    """(set_id, component_id) of every set: the least document of its component, or of its copies."""
+    """(set_id, root, component_id) of every set: the least document of its component, or of its copies."""
     roots = first.join(joined, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     low = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return roots.join(low, "root").select("set_id", "component_id")
+    return roots.join(low, "root").select("set_id", "root", "component_id")

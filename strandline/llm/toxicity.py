@@ -2,16 +2,22 @@
 
 Learning: words, and word stems, that occur almost only in texts labelled toxic become the lexicon. Its trie is walked
 together with the Levenshtein automaton of one edit; the reachable pairs (trie node, edits so far) are made deterministic
-over byte classes, once on the driver. A table row then stands for all entries that a word so far may still become.
+over byte classes, once on the driver; an edit is of one byte of UTF-8. A table row then stands for all entries that a word so far may still become.
+
+A word within one edit of an entry may be a misspelling or a word of its own. Those that clean texts of the sample have are
+words of their own: they are compiled into the automaton and accepted as harmless. An edit of an entry counts only if it tells: clean
+texts that were kept apart when these words were gathered must have other words that near much more seldom than toxic texts
+have the entry; other edits are reported, but weigh nothing. What an edit is worth is reckoned on such texts too.
 
 Scoring: all tokens of a slice step through the table together and drop out once no entry is in reach, mostly after a few
 bytes. Around each hit, a window tells quotation (quotation marks, words of saying) from abuse (second person); hits count
-less or more by it. A logistic model of the weighed hits, fitted to the same sample, gives the score.
+less or more by factors that are fitted to the sample, from usual values. A logistic model of the weighed hits gives the score.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -29,8 +35,14 @@ from strandline.sources.shared import importable
 SAMPLE = 4_000
 #: Tokens to each side of a hit that make its context.
 WINDOW = 6
-#: Entries of fewer bytes must be spelled exactly.
+#: Where nothing is learned about that, entries of fewer bytes must be spelled exactly.
 FUZZY_FROM = 5
+#: The share of an entry's toxic texts that is taken to have it misspelled, and the odds (as a logarithm) by which these must
+#: exceed clean texts with a strange word that near, for an edit to tell.
+MISSPELLED, TELLING = 0.1, 3.0
+#: Usual factors of a hit between quotation marks, near a word of saying, and near a second person.
+FACTORS = (0.6, 0.7, 1.5)
+LEAST_STEM = 4
 SAYING = frozenset("said says quote quoted quotes wrote writes called reported claims claimed sagte sagt schrieb zitat dijo dice escribió cita dit écrit citation".split())
 SECOND_PERSON = frozenset("you your youre yourself du dich dir dein euch ihr tu te tus usted vos vous toi votre".split())
 QUOTES = frozenset('"“”„«»')
@@ -40,7 +52,7 @@ QUOTES = frozenset('"“”„«»')
 class Lexicon:
     table: np.ndarray  # (state, byte class) -> state; 0 is dead
     classes: np.ndarray  # byte -> class
-    accepts: np.ndarray  # 0 none, 1 a word with an edit, 2 a word, 3 a stem
+    accepts: np.ndarray  # 0 none or a harmless word, 1 a word with a telling edit, 2 a word, 3 a stem, 4 a word with another edit
     start: int = 1
 
     def match(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -55,12 +67,17 @@ class Lexicon:
         return self.accepts[state]
 
 
-def compile_lexicon(words: list[str], stems: list[str]) -> Lexicon:
-    """The deterministic product of the trie and the one-edit automaton. A stem is met by any word that begins with it."""
-    entries = [(w.encode(), False) for w in words] + [(s.encode(), True) for s in stems]
+def compile_lexicon(words: list[str], stems: list[str], telling: set[str] | None = None, harmless: set[str] | frozenset = frozenset()) -> Lexicon:
+    """The deterministic product of the trie and the one-edit automaton. A stem is met by any word that begins with it.
+
+    Words of FUZZY_FROM bytes or more and those in ``telling`` are met with an edit too, but not by ``harmless`` words; the edit
+    counts if the word is in ``telling`` (default: all that are met so).
+    """
+    edits_of = lambda w: 0 if len(w.encode()) < FUZZY_FROM and w not in (telling or ()) else 1 + (telling is None or w in telling)
+    entries = [(w.encode(), 0, edits_of(w)) for w in words] + [(s.encode(), 1, 0) for s in stems] + [(w.encode(), 2, 0) for w in sorted(harmless)]
     trie: list[dict[int, int]] = [{}]
-    whole, stem, fuzzy, fuzzy_ends = set(), set(), {0}, set()
-    for raw, is_stem in entries:
+    whole, stem, safe, fuzzy, loose, told = set(), set(), set(), set(), set(), set()
+    for raw, kind, edits in entries:
         at, path = 0, [0]
         for b in raw:
             if b not in trie[at]:
@@ -68,10 +85,10 @@ def compile_lexicon(words: list[str], stems: list[str]) -> Lexicon:
                 trie.append({})
             at = trie[at][b]
             path.append(at)
-        (stem if is_stem else whole).add(at)
-        if not is_stem and len(raw) >= FUZZY_FROM:
+        (whole, stem, safe)[kind].add(at)
+        if edits:
             fuzzy.update(path)
-            fuzzy_ends.add(at)
+            (loose, told)[edits - 1].add(at)
     letters = sorted({b for node in trie for b in node})
     classes = np.zeros(256, np.int64)
     for i, b in enumerate(letters, 1):
@@ -115,7 +132,9 @@ def compile_lexicon(words: list[str], stems: list[str]) -> Lexicon:
                 order.append(after)
             row.append(states[after])
         rows.append(row)
-    accepts = [2 if any(e == 0 and n in whole for n, e in p) else 3 if p == done or any(e == 0 and n in stem for n, e in p) else 1 if any(e == 1 and n in fuzzy_ends for n, e in p) else 0 for p in order]
+    exact = lambda pairs, ends: any(e == 0 and n in ends for n, e in pairs)
+    near = lambda pairs, ends: any(e == 1 and n in ends for n, e in pairs)
+    accepts = [2 if exact(p, whole) else 3 if p == done or exact(p, stem) else 0 if exact(p, safe) else 1 if near(p, told) else 4 if near(p, loose) else 0 for p in order]
     return Lexicon(np.array(rows, np.int32), classes, np.array(accepts, np.int8))
 
 
@@ -193,22 +212,36 @@ def choose_entries(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     return words, best
 
 
+def _shared_prefixes(words: set[str], least: int, by: int = 4) -> dict[str, list[str]]:
+    """The proper prefixes of each word, of ``least`` letters or more, that ``by`` different words have."""
+    order = sorted(words)
+    reach = [0] * len(order)
+    for i in range(len(order) - by + 1):
+        n = len(os.path.commonprefix([order[i], order[i + by - 1]]))  # also of all between
+        if n >= least:
+            for j in range(i, i + by):
+                reach[j] = max(reach[j], n)
+    return {w: [w[:n] for n in range(least, min(r + 1, len(w)))] for w, r in zip(order, reach, strict=True) if r >= least}
+
+
 def _stems(texts: list[set[str]], clean: list[set[str]], by_weight: bool) -> list[str]:
     """Stems of toxic ``texts``, the heaviest first: those far heavier than chance stems, or those whose evidence by texts is
     such that chance gives at most one (long texts have most stems anyway)."""
     size1, size0 = sum(map(len, texts)) or 1, sum(map(len, clean)) or 1
-    spread, docs1, all1, all0 = defaultdict(set), Counter(), Counter(), Counter()
+    docs1, all1, all0 = Counter(), Counter(), Counter()
+    prefixes = _shared_prefixes(set().union(*texts), LEAST_STEM)
     for words_of in texts:
-        grouped = Counter(w[:n] for w in words_of for n in range(4, min(len(w), 10)))
+        grouped = Counter(p for w in words_of for p in prefixes.get(w, ()))
         all1.update(grouped)
         docs1.update(grouped.keys())
-        for w in words_of:
-            for n in range(4, min(len(w), 10)):
-                spread[w[:n]].add(w)
     least = max(3, 0.04 * len(texts)) if by_weight else 3
-    usual = {p for p, c in docs1.items() if c >= least and len(spread[p]) >= 4}
-    for words_of in clean:
-        all0.update(p for w in words_of for n in range(4, min(len(w), 10)) if (p := w[:n]) in usual)
+    usual = {p for p, c in docs1.items() if c >= least}
+    known = Counter(w for words_of in clean for w in words_of)
+    longest = max(map(len, usual), default=0)
+    for w, n in known.items():
+        for k in range(LEAST_STEM, min(len(w), longest + 1)):
+            if w[:k] in usual:
+                all0[w[:k]] += n
     rate = {p: math.log((all1[p] / size1) / ((all0[p] + 0.5) / size0)) for p in usual}
     weight = {p: all1[p] * max(rate[p], 0) ** 2 for p in usual}
     top = max(weight.values(), default=0)  # chance stems are many, and far lighter than the others
@@ -218,48 +251,50 @@ def _stems(texts: list[set[str]], clean: list[set[str]], by_weight: bool) -> lis
     return sorted((p for p in usual if rate[p] > 2 and enough(p)), key=lambda p: (-weight[p], -len(p), p))
 
 
-def _context(data: bytes, start: np.ndarray, end: np.ndarray, i: int, low: int, high: int) -> float:
-    """The weight of a hit at token ``i`` of a text with tokens low:high."""
-    a, b = max(low, i - WINDOW), min(high, i + WINDOW + 1)
-    near = {data[start[j] : end[j]].decode("utf-8", "ignore").lower() for j in range(a, b) if j != i}
-    before, after = data[start[a] : start[i]].decode("utf-8", "ignore"), data[end[i] : end[b - 1]].decode("utf-8", "ignore")
-    weight = 1.0
-    if QUOTES & set(before) and QUOTES & set(after):
-        weight *= 0.6
-    if SAYING & near:
-        weight *= 0.7
-    if SECOND_PERSON & near:
-        weight *= 1.5
-    return weight
-
-
-def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray, stem_rate: float = 1e-3) -> tuple[np.ndarray, list[tuple[int, int, int, float, int]]]:
-    """(x, hits): for each text log(1 + weighed hits), exact and with an edit, whether there are any, and the excess of stems;
-    hits are (row, start, end, weight, kind)."""
+def _flags(data: bytes, start: np.ndarray, end: np.ndarray, i: int) -> int:
+    """Of a hit at token ``i`` of a window: 1 between quotation marks, 2 near a word of saying, 4 near a second person."""
+    near = {data[start[j] : end[j]].decode("utf-8", "ignore").lower() for j in range(len(start)) if j != i}
+    before, after = data[: start[i]].decode("utf-8", "ignore"), data[end[i] :].decode("utf-8", "ignore")
+    return bool(QUOTES & set(before) and QUOTES & set(after)) + 2 * bool(SAYING & near) + 4 * bool(SECOND_PERSON & near)
+
+
+def _weights(hits: np.ndarray, factors: tuple[float, ...]) -> np.ndarray:
+    """By context; an edit that does not tell weighs nothing."""
+    return np.array([math.prod(f for b, f in enumerate(factors) if m >> b & 1) for m in range(8)])[hits[:, 3]] * (hits[:, 4] < 4)
+
+
+def found(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hits, tokens of each text): hits are rows (text, start, end, flags, kind) in order, with bytes of the text."""
     start, end, first = T.words(data, offsets, T.TOKEN)
     kinds = lexicon.match(data, start, end)
-    x = np.zeros((len(offsets) - 1, 5))
-    hits = []
-    found = np.flatnonzero(kinds)
-    rows = np.searchsorted(first, found, "right") - 1
-    for i, d in zip(found.tolist(), rows.tolist(), strict=True):
-        base, stop = int(offsets[d]), int(offsets[d + 1])
-        low, high = int(first[d]), int(first[d + 1])
-        a, b = max(low, i - WINDOW), min(high, i + WINDOW + 1)
-        piece = data[start[a] : end[b - 1]].tobytes()
-        weight = _context(piece, start[a:b] - start[a], end[a:b] - start[a], i - a, 0, b - a)
-        kind = int(kinds[i])
-        x[d, (1, 0, 4)[kind - 1]] += weight
-        hits.append((d, int(start[i]) - base, int(end[i]) - base, weight, kind))
-        assert stop >= end[i]
+    at = np.flatnonzero(kinds)
+    rows = np.searchsorted(first, at, "right") - 1
+    flags = np.zeros(len(at), np.int64)
+    for k, (i, d) in enumerate(zip(at.tolist(), rows.tolist(), strict=True)):
+        a, b = max(int(first[d]), i - WINDOW), min(int(first[d + 1]), i + WINDOW + 1)
+        flags[k] = _flags(data[start[a] : end[b - 1]].tobytes(), start[a:b] - start[a], end[a:b] - start[a], i - a)
+    return np.stack([rows, start[at] - offsets[rows], end[at] - offsets[rows], flags, kinds[at].astype(np.int64)], 1), np.diff(first)
+
+
+def weighed(hits: np.ndarray, tokens: np.ndarray, factors: tuple[float, ...], stem_rate: float) -> np.ndarray:
+    """For each text log(1 + weighed hits), exact and with an edit, whether there are any, and the excess of stems."""
+    x = np.zeros((len(tokens), 5))
+    np.add.at(x, (hits[:, 0], np.array([0, 1, 0, 4, 1])[hits[:, 4]]), _weights(hits, factors))
     x[:, 2:4] = x[:, :2] > 0
     x[:, :2] = np.log1p(x[:, :2])
     # stems also occur by chance: what counts is the excess over the rate in clean texts, as a signed root of the deviance
-    usual = np.maximum(np.diff(first) * stem_rate, 1e-9)
+    usual = np.maximum(tokens * stem_rate, 1e-9)
     seen = x[:, 4]
     excess = np.sqrt(2 * np.maximum(seen * np.log(np.maximum(seen, 1e-9) / usual) - (seen - usual), 0))
     x[:, 4] = np.where(seen > usual, np.minimum(excess, 10), 0)
-    return x, hits
+    return x
+
+
+def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray, stem_rate: float = 1e-3, factors: tuple[float, ...] = FACTORS) -> tuple[np.ndarray, list[tuple[int, int, int, float, int]]]:
+    """(x, hits): ``weighed`` hits of each text, and (row, start, end, weight, kind) of each hit."""
+    hits, tokens = found(lexicon, data, offsets)
+    weights = _weights(hits, factors)
+    return weighed(hits, tokens, factors, stem_rate), [(*h[:3], w, h[4]) for h, w in zip(hits.tolist(), weights.tolist(), strict=True)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
@@ -278,30 +313,97 @@ class Model:
     lexicon: Lexicon
     weights: np.ndarray
     stem_rate: float = 1e-3
+    factors: tuple[float, ...] = FACTORS
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
+def _strange(words: list[str], tokens: set[str]) -> set[str]:
+    """The ``tokens`` that are no entry and within one edit of one."""
+    lexicon = compile_lexicon(words, [], set(words))
+    order = sorted(tokens)
+    ends = np.cumsum([len(t.encode()) for t in order], dtype=np.int64)
+    kinds = lexicon.match(np.frombuffer("".join(order).encode(), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if order else np.zeros(0)
+    return {t for t, k in zip(order, kinds, strict=True) if k == 1}
+
+
+def _one_edit(a: str, b: str) -> bool:
+    x, y = sorted((a.encode(), b.encode()), key=len)
+    if len(y) - len(x) > 1:
+        return False
+    i = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), len(x))
+    return x[i + (len(x) == len(y)) :] == y[i + 1 :]
+
+
+def learn_edits(words: list[str], sets: list[tuple[set[str], int]]) -> tuple[set[str], set[str]]:
+    """(entries whose edits tell, harmless words) from (tokens, toxic) of texts.
+
+    Harmless words are gathered from one half of the clean texts; those of the other half with a strange word within one
+    edit of an entry, both ways round, are held against MISSPELLED of the toxic texts that have the entry.
+    """
+    clean = [v for v, y in sets if not y]
+    harmless = _strange(words, set().union(*clean))
+    strange = Counter()
+    for h in (0, 1):
+        new = harmless - set().union(*clean[h::2])
+        if new:
+            for v in clean[1 - h :: 2]:
+                strange.update({w for t in v & new for w in words if _one_edit(w, t)})
+    seen = Counter(w for v, y in sets if y for w in v)
+    n1, n0 = max(len(sets) - len(clean), 1), len(clean)
+    odds = lambda w: math.log(max(MISSPELLED * seen[w] / n1, 1e-9) * (n0 + 1) / (strange[w] + 0.5))
+    return {w for w in words if odds(w) > TELLING}, harmless
+
+
+def _fit_factors(hits: np.ndarray, tokens: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, ...]:
+    """The context factors under which the logistic model explains the sample best, one after the other, each held to its
+    usual value by a penalty on the logarithm of what it departs by."""
+    def loss(factors):
+        x = weighed(hits, tokens, factors, rate)
+        w = fit_logistic(x, y, rounds=8)
+        z = w[0] + x @ w[1:]
+        return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + sum(math.log(f / u) ** 2 for f, u in zip(factors, FACTORS, strict=True)))
+
+    best = list(FACTORS)
+    for i in [0, 1, 2] * 2:
+        best[i] = min((best[i] * s for s in (1, 0.8, 0.6, 0.4, 1.25, 1.6, 2.5)), key=lambda f: loss((*best[:i], f, *best[i + 1 :])))  # noqa: B023
+    return tuple(best)
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     words, stems = choose_entries(rows) if rows else ([], [])
-    lexicon = compile_lexicon(words, stems)
     if not rows:
-        return Model(lexicon, np.array([-5.0, 0, 0, 0, 0, 0]))
+        return Model(compile_lexicon([], []), np.array([-5.0, 0, 0, 0, 0, 0]))
     y = np.array([int(v) for _, v in rows], float)
-    raw = [np.frombuffer(t.encode(), np.uint8) for t, _ in rows]
-    stems_seen = tokens = 0
-    for r, v in zip(raw, y, strict=True):
-        if not v:
-            start, end, _ = T.words(r, np.array([0, len(r)]), T.TOKEN)
-            stems_seen += int((lexicon.match(r, start, end) == 3).sum())
-            tokens += len(start)
-    rate = (stems_seen + 0.5) / max(tokens, 1)
-    x = np.concatenate([features(lexicon, r, np.array([0, len(r)]), rate)[0] for r in raw])
+    sets = [(_tokens(t), v) for t, v in rows]
+    telling, harmless = learn_edits(words, sets)
+    lexicon = compile_lexicon(words, stems, telling, harmless)
+    # hits of each half by harmless words of the other one, as new texts will have them
+    parts = []
+    for h in (0, 1):
+        others = set().union(*(v for v, toxic in sets[1 - h :: 2] if not toxic))
+        apart = compile_lexicon(words, stems, telling, harmless & others)
+        raw = [t.encode() for t, _ in rows[h::2]]
+        hits, tokens = found(apart, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+        hits[:, 0] = hits[:, 0] * 2 + h
+        parts.append((hits, tokens))
+    hits, tokens = np.concatenate([p[0] for p in parts]), np.zeros(len(rows), np.int64)
+    for h in (0, 1):
+        tokens[h::2] = parts[h][1]
+    of_clean = hits[y[hits[:, 0]] == 0]
+    rate = (np.count_nonzero(of_clean[:, 4] == 3) + 0.5) / max(int(tokens[y == 0].sum()), 1)
+    factors = _fit_factors(hits, tokens, y, rate)
+    x = weighed(hits, tokens, factors, rate)
     w = np.maximum(fit_logistic(x, y), [-np.inf, 0, 0, 0, 0, 0])
-    if (y == 0).any() and x[y == 0, 3].mean() < 0.005:  # misspellings that the sample lacks still count, if clean texts lack them too
-        w[[2, 4]] = np.maximum(w[[2, 4]], 0.75 * w[[1, 3]])
-    return Model(lexicon, w, rate)
+    # an edit alone counts by the odds that it tells: how often toxic texts have one, by the sample or else as usual, against
+    # clean ones; but no more than the word itself. That the word is missing then says nothing, as the edit took it away
+    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+    toxic = max(x[y > 0, 3].sum() / n1, MISSPELLED * x[y > 0, 2].sum() / n1, 1e-9)
+    odds = math.log(n1 / n0) + math.log(toxic * (n0 + 1) / (x[y == 0, 3].sum() + 0.5))
+    word = w[0] + w[3] + math.log(2) * w[1]
+    w[4] = max(w[4], min(odds, word) - w[0] - math.log(2) * w[2], 0.0) if telling else 0.0
+    return Model(lexicon, w, rate, factors)
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
@@ -310,28 +412,39 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     return fit(learning.sample(known.select("doc_id", "toxic"), "toxic", limit, docs))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default doc_id, held_out), score, predicted and hits of each row of ``docs`` (doc_id, text, …).
+def _scored(shared, text: str, finish):
+    """``finish(rows, probabilities, hits as lists)`` of each slice."""
+    def run(stream):
+        m = shared.value
+        for rows, data, at in T.batches(stream, text=text):
+            hits, tokens = found(m.lexicon, data, at)
+            p = m.score(weighed(hits, tokens, m.factors, m.stem_rate))
+            columns = [pa.array(hits[:, 1]), pa.array(hits[:, 2]), pa.array(_weights(hits, m.factors)), pa.array((hits[:, 4] == 2) | (hits[:, 4] == 3))]
+            parts = pa.StructArray.from_arrays(columns, ["start", "end", "weight", "exact"])
+            yield finish(rows, p, pa.ListArray.from_arrays(pa.array(np.searchsorted(hits[:, 0], np.arange(len(at))).astype(np.int32)), parts))
+
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, score, predicted, hits) of each row of ``docs`` (doc_id, text, …); other columns are ignored.
 
     hits are (start, end, weight, exact) in bytes of the text. A null or empty text has no hits and the score that goes
-    with none.
+    with none; repeated rows come back as often, an empty table gives none.
     """
-    spark = importable(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
-    given = docs.withColumn("held_out", learning.held_out()) if keep is None else docs
-    keep = ["doc_id", "held_out"] if keep is None else keep
-    given = given.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("text"))
+    shared = importable(docs.sparkSession).sparkContext.broadcast(model)  # bounded by the sample
 
-    def run(stream):
-        m = shared.value
-        for rows, data, at in T.batches(stream):
-            x, hits = features(m.lexicon, data, at, m.stem_rate)
-            p = m.score(x)
-            of = [h[0] for h in hits]
-            parts = pa.StructArray.from_arrays([pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.float64()), pa.array([h[4] > 1 for h in hits], pa.bool_())], ["start", "end", "weight", "exact"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(at))).astype(np.int32)), parts)
-            yield pa.RecordBatch.from_arrays([*[rows.column(f"k{i}") for i in range(len(keep))], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), lists], [*[f"k{i}" for i in range(len(keep))], "_score", "_predicted", "_hits"])
-
-    kinds = ", ".join(f"k{i} {given.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    out = given.mapInArrow(run, f"{kinds}, _score double, _predicted int, _hits array<struct<start:long,end:long,weight:double,exact:boolean>>")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("_score").alias("score"), F.col("_predicted").alias("predicted"), F.col("_hits").alias("hits"))
+    def finish(rows, p, lists):
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), lists], ["doc_id", "held_out", "score", "predicted", "hits"])
+
+    given = docs.select("doc_id", "text").withColumn("held_out", learning.held_out())
+    return given.mapInArrow(_scored(shared, "text", finish), "doc_id long, held_out boolean, score double, predicted int, hits array<struct<start:long,end:long,weight:double,exact:boolean>>")
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever these are called. Odd rows as in ``score``."""
+    shared = importable(docs.sparkSession).sparkContext.broadcast(model)
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    given = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)])
+    keep = _scored(shared, names[docs.columns.index("text")], lambda rows, p, _: rows.filter(pa.array(p < 0.5)))
+    return given.mapInArrow(keep, given.schema).select(*[F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)])

@@ -38,10 +38,15 @@ def test_toxicity_held_out(spark):
     model = toxicity.learn(docs, labels)
     got = toxicity.score(docs, model).join(labels, "doc_id").where("held_out")
     assert got.where("predicted = toxic").count() >= 0.95 * got.count()
-    odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "x " * 50_000 + "you stupidd idiot", 3), (2, "stupid moron", 4)], "doc_id long, text string, score int")
-    out = {r["score"]: r for r in toxicity.score(odd.withColumnRenamed("score", "n"), model, keep=["n"]).withColumnRenamed("score", "p").withColumnRenamed("n", "score").collect()}
-    assert [out[i].predicted for i in (1, 2, 3, 4)] == [0, 0, 1, 1] and len(out[3].hits) == 2
+    odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (3, "x " * 50_000 + "you stupidd idiot", 3), (4, "stupid moron", 4)], "doc_id long, text string, score int")
+    out = {r.doc_id: r for r in toxicity.score(odd, model).collect()}
+    assert [out[i].predicted for i in (None, 1, 3, 4)] == [0, 0, 1, 1] and len(out[3].hits) == 2
     assert toxicity.score(odd.where("false"), model).count() == 0 and toxicity.learn(docs, labels.where("false")).score(np.zeros((1, 5)))[0] < 0.5
+    names = ["predicted", "hits", "held_out", "_score", "k0", "k1", "text_"]
+    clashing = odd.withColumns({x: F.lit(1) for x in names})
+    kept = toxicity.clean(clashing, model)
+    assert kept.columns == clashing.columns and sorted(r.score for r in kept.collect()) == [1, 2] and kept.select(*names).distinct().collect() == [(1,) * len(names)]
+    assert toxicity.clean(odd.where("false"), model).count() == 0
 
 
 def test_context_weighs():
