@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from strandline.llm import spans
 
 
@@ -68,3 +71,33 @@ def test_odd_rows(spark):
     assert [r.n_removed for r in spans.repeated_spans(twins).orderBy("doc_id").collect()] == [0, 0, 500]
     same = spark.createDataFrame([(1, a), (2, a[::-1]), (2, a), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id, len(r.kept)) for r in spans.deduplicated(same).collect()) == [(1, 500), (2, 0), (2, 500), (3, 0)]
+
+
+@pytest.mark.parametrize("width", [24, 31, 150, 200, 600])
+def test_other_widths(spark, width):
+    rows = mixture(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(spans.repeated_spans(docs, width)) == brute(rows, width)
+
+
+def test_widths_that_cannot_be(spark):
+    with pytest.raises(ValueError):
+        spans.repeated_spans(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spans.GRAM - 1)
+
+
+def test_common_anchors(spark, monkeypatch):
+    """A line in most documents: its anchors are found, and dealt as names and windows they give the same rows."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line = word(140)
+    rows = [(i, word(rnd.randint(0, 80)) + line + word(rnd.randint(0, 80)) + (line[:120] if i % 3 else "")) for i in range(300)] + [(i, word(500)) for i in range(300, 330)]
+    rows += [(5, rows[5][1]), (None, line), (7, "x" * 300), (8, "x" * 260)]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 100)
+    for sampled, slots in ((1, 1 << 17), (1, 2), (16, 1 << 17)):
+        monkeypatch.setattr(spans, "SAMPLED", sampled)
+        monkeypatch.setattr(spans, "SLOTS", slots)
+        given = docs.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "text")
+        assert len(spans.common_anchors(given, 100)) > 0 or sampled > 1
+        assert got(spans.repeated_spans(docs)) == want
