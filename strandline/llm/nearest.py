@@ -5,10 +5,11 @@ variable. Cuts of a kd-tree over projections of a bounded sample deal all vector
 than CELL is split by a hash, and queries stream past a cell, so a task holds a bounded number of vectors. Each cell has a
 kd-tree of its own.
 
-A query visits leaves in order of their projected distance and verifies their vectors exactly. It stops when the next leaf
-is so far that a vector beyond, were it nearer than the k-th found, would have been projected there only with probability
-1 - SURE (chi-square test). The first round searches the query's own region; its k-th distance tells by the same test which
-other cells a query goes to in the second.
+In a cell a query takes its FIRST nearest vectors by projected distance and verifies them exactly. Then it goes on outwards,
+and stops where a vector, were it nearer than the k-th found, would have been projected only with probability 1 - SURE
+(chi-square test); leaves that begin farther out are not opened. Queries of a batch that lie together do so together, as
+products of matrices. The first round searches the query's own region; its k-th distance tells by the same test which other
+cells a query goes to in the second.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from pyspark.sql import types as T
 
 from strandline.sources.shared import importable, shared_checkpoint
 
-DIMS, LEAF, CELL, SAMPLE, SURE = 8, 64, 4_096, 20_000, 0.98
+DIMS, LEAF, CELL, SAMPLE, SURE = 12, 64, 4_096, 20_000, 0.95
+#: Projected neighbours verified first, and queries taken together.
+FIRST, TOGETHER = 128, 64
+#: The squared distance reached by a query that has found too few: nothing is too far for it.
+ANY = float("inf")
 
 
 def chi_square_cdf(x: float, dims: int) -> float:
@@ -47,7 +52,13 @@ def directions(width: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((width, DIMS))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component to about 1: exact, and no square over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+
+
 def units(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
@@ -123,31 +134,51 @@ class Cell:
         leaf = place(points, region_cuts(points, -(-len(ids) // LEAF)))
         order = np.argsort(leaf, kind="stable")
         bounds = np.searchsorted(leaf[order], np.arange(leaf.max() + 2))
-        full = np.flatnonzero(np.diff(bounds))
-        self.bounds = [(int(bounds[f]), int(bounds[f + 1])) for f in full]
-        self.low = np.stack([points[order[a:b]].min(0) for a, b in self.bounds])
-        self.high = np.stack([points[order[a:b]].max(0) for a, b in self.bounds])
-        self.ids, self.copies, self.vectors = ids[order], copies[order], vectors[order]
+        self.sizes = np.diff(bounds)[np.diff(bounds) > 0]
+        ends = np.cumsum(self.sizes)
+        self.points = points[order]
+        self.low = np.stack([self.points[a:b].min(0) for a, b in zip(ends - self.sizes, ends, strict=True)])
+        self.high = np.stack([self.points[a:b].max(0) for a, b in zip(ends - self.sizes, ends, strict=True)])
+        self.ids, self.copies, self.vectors = ids[order], copies[order], scaled(vectors[order])
         self.norm = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.verified = 0
+
+    def _scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Cosines with one query; equal vectors give equal scores."""
+        return (self.vectors[rows] * query).sum(-1) / (self.norm[rows] * np.sqrt((query * query).sum()))
 
     def search(self, queries: np.ndarray, reach: np.ndarray, k: int, sure: float = SURE) -> list[tuple[int, int, float]]:
         """(row of the query, row of the cell, score): up to ``k`` best for each. reach: squared distances already reached."""
-        asked, qnorm = units(queries) @ directions(queries.shape[1]), np.sqrt((queries * queries).sum(1))
+        queries, asked = scaled(queries), units(queries) @ directions(queries.shape[1])
         limit, out = chi_square_bound(sure, DIMS), []
-        for q in range(len(queries)):
-            far = gaps(asked[q : q + 1], self.low, self.high)[0]
-            best_s, best_i, least = np.zeros(0), np.zeros(0, np.int64), reach[q]
-            for f in np.argsort(far, kind="stable"):
-                if far[f] > limit * least:
-                    break
-                a, b = self.bounds[f]
-                score = (self.vectors[a:b] * queries[q]).sum(1) / (self.norm[a:b] * qnorm[q])
-                s, i = np.concatenate([best_s, score]), np.concatenate([best_i, np.arange(a, b)])
-                top = np.lexsort((self.ids[i], -s))[:k]
-                best_s, best_i = s[top], i[top]
-                if len(best_s) == k:
-                    least = min(least, max(2 - 2 * best_s[-1], 0.0) + 1e-12)
-            out += zip([q] * len(best_i), best_i.tolist(), best_s.tolist(), strict=True)
+        order = np.lexsort(asked.T)
+        for at in range(0, len(order), TOGETHER):
+            out += self._together(order[at : at + TOGETHER], queries, asked, reach, k, limit)
+        return sorted(out, key=lambda x: x[0])
+
+    def _together(self, rows: np.ndarray, queries: np.ndarray, asked: np.ndarray, reach: np.ndarray, k: int, limit: float) -> list[tuple[int, int, float]]:
+        q, p, least = queries[rows], asked[rows], reach[rows].copy()
+        norm = np.sqrt((q * q).sum(1))
+        far = gaps(p, self.low, self.high)
+        near = (p * p).sum(1)[:, None] + (self.points * self.points).sum(1) - 2 * p @ self.points.T
+        n = len(self.ids)
+        if k <= n:
+            first = np.argpartition(near, min(FIRST, n) - 1, 1)[:, : max(min(FIRST, n), k)] if n > k else np.tile(np.arange(n), (len(rows), 1))
+            scores = np.einsum("qid,qd->qi", self.vectors[first], q) / (self.norm[first] * norm[:, None])
+            kth = -np.partition(-scores, k - 1, 1)[:, k - 1] if scores.shape[1] >= k else np.full(len(rows), -1.0)
+            least = np.minimum(least, np.maximum(2 - 2 * kth, 0) + 1e-9)
+        open_ = np.flatnonzero(np.repeat((far <= limit * least[:, None]).any(0), self.sizes))
+        within = near[:, open_] <= limit * least[:, None] + 1e-9
+        self.verified += int(within.sum())
+        scores = np.where(within, q @ self.vectors[open_].T / (self.norm[open_] * norm[:, None]), -2.0)
+        out = []
+        for i, row in enumerate(rows.tolist()):
+            own = scores[i]
+            bar = -np.partition(-own, k - 1)[k - 1] if len(own) > k else -1.5
+            some = open_[np.flatnonzero(own >= max(bar - 1e-9, -1.5))]
+            exact = self._scores(q[i], some)
+            top = np.lexsort((self.ids[some], -exact))[:k]
+            out += zip([row] * len(top), some[top].tolist(), exact[top].tolist(), strict=True)
         return out
 
 
@@ -197,8 +228,9 @@ def _look(width: int, want: int):
 def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of each vector whose vec_id is divisible by ``every``.
 
-    ``vectors`` has vec_id and embedding. Rows take no part if vec_id or embedding is null, a component is null or not
-    finite, all are zero, or the width is not the most common one. A row never finds its own vec_id; rows that repeat
+    ``vectors`` has vec_id and embedding; other columns are ignored. Rows take no part if vec_id or embedding is null, a
+    component is null or not finite, or all are zero; finite components may be of any size. Vectors of another width have no
+    cosine with a query: each width is searched by itself. A row never finds its own vec_id; rows that repeat
     another vec_id count once for each row, and repeated query rows are answered once,
     those with one vec_id and several vectors for each vector. Ties go to the smaller vec_id.
     Scores are cosines in double precision. Only the sample, the cuts and a count for each region reach the driver.
@@ -212,11 +244,14 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     doubles = F.transform("v", lambda x: x.cast("double"))
     sound = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(doubles, lambda x: x != 0)
     good = vectors.select("vec_id", F.col("embedding").cast(f"array<{item}>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(sound, F.lit(False)))
-    widths = good.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").head(1)
-    if not widths:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n = widths[0]
-    good = good.where(F.size("v") == width)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in good.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy("w").collect():  # a row for each width
+        out = out.unionByName(_of_width(good.where(F.size("v") == r["w"]), r["w"], r["n"], item, k, every))
+    return out
+
+
+def _of_width(good: DataFrame, width: int, n: int, item: str, k: int, every: int) -> DataFrame:
+    """``neighbours`` among the ``n`` sound vectors v of one width."""
     sample = good.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()
     cuts = region_cuts(units(np.stack([np.asarray(x, np.float64) for x in sample["v"]])) @ directions(width), -(-n // CELL))
 
@@ -239,9 +274,9 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         rows = data.unionByName(asked).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind")
         return rows.mapInArrow(_look(width, want), "asker long, vec_id long, copies long, score double")
 
-    home = classes.select("region", salt("asker"), "asker", "v", F.lit(4.0).alias("kth"))
+    home = classes.select("region", salt("asker"), "asker", "v", F.lit(ANY).alias("kth"))
     reached = probed(home).groupBy("asker").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
-    kth = reached.select("asker", F.when(F.col("n") >= want, F.greatest(2 - 2 * F.col("s"), F.lit(0.0)) + 1e-12).otherwise(4.0).alias("kth"))
+    kth = reached.select("asker", F.when(F.col("n") >= want, F.greatest(2 - 2 * F.col("s"), F.lit(0.0)) + 1e-12).otherwise(ANY).alias("kth"))
 
     def route(stream):
         low, high = boxes(cuts)
@@ -257,7 +292,7 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 picked = batch.select(["asker", "v", "kth"]).take(pa.array(i))
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int32()), *picked.columns], ["region", "salt", "asker", "v", "kth"])
 
-    far = classes.join(kth, "asker", "left").select("asker", "v", F.coalesce("kth", F.lit(4.0)).alias("kth"))
+    far = classes.join(kth, "asker", "left").select("asker", "v", F.coalesce("kth", F.lit(ANY)).alias("kth"))
     routed = far.mapInArrow(route, f"region long, salt int, asker long, v array<{item}>, kth double")
     best = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
     top = probed(routed).withColumn("at", best).where(F.col("at") <= want)
