@@ -10,8 +10,25 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def pieces(seq: Column | str, size: int, overlap: int = 0) -> Column:
+    """Array of (start, own, piece): parts of ``size`` characters, each with the next ``overlap`` (at most ``size``) behind it.
+
+    The text is cut in one pass. A slice at a place of a long text is reached by walking there from its first byte; inside a
+    piece that is a bounded way, so what is done piece by piece takes time in proportion to the text.
+    """
+    if not 0 <= overlap <= size:
+        raise ValueError("overlap must be from 0 to size")
+    seq = as_column(seq)
+    cut = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    joined = F.zip_with(cut, F.slice(cut, 2, 1 << 30), lambda x, y: F.struct(F.length(x).alias("own"), F.concat(x, F.substring(F.coalesce(y, F.lit("")), 1, overlap)).alias("piece")))
+    many = F.transform(joined, lambda z, i: F.struct((i.cast("long") * size).alias("start"), z["own"].alias("own"), z["piece"].alias("piece")))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(seq).alias("own"), seq.alias("piece")))
+    return F.when(F.length(seq) <= size, one).otherwise(many)
+
+
 def kmers(seq: Column | str, k: int) -> Column:
-    """All windows of ``k`` characters, left to right; an empty array if the text is shorter or null."""
+    """All windows of ``k`` characters, left to right; an empty array if the text is shorter or null. For texts of bounded
+    length: ``graphs.windows`` takes any."""
     if k < 1:
         raise ValueError("k must be at least 1")
     seq = as_column(seq)
@@ -20,23 +37,6 @@ def kmers(seq: Column | str, k: int) -> Column:
     return F.when(last >= 0, windows).otherwise(F.array().cast("array<string>"))
 
 
-def steps(seq: Column | str, k: int) -> Column:
-    """(pos, src, dst) of every k-mer that has a successor. Both ends come from one index: no window, no shuffle."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    seq = as_column(seq)
-    last = F.length(seq) - k - 1
-    pairs = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            i.cast("long").alias("pos"),
-            F.substring(seq, i + 1, F.lit(k)).alias("src"),
-            F.substring(seq, i + 2, F.lit(k)).alias("dst"),
-        ),
-    )
-    return F.when(last >= 0, pairs).otherwise(F.array().cast("array<struct<pos:long,src:string,dst:string>>"))
-
-
 def letters(seq: Column | str, alphabet: str = "GC") -> Column:
     """How many characters are in ``alphabet`` (case counts)."""
     seq = as_column(seq)
@@ -73,6 +73,14 @@ def prefix_table(pattern: str) -> list[int]:
     return table
 
 
+def borders(pattern: Column | str) -> Column:
+    """``prefix_table`` of a column of short patterns; empty for an empty one."""
+    pattern = as_column(pattern)
+    longest = lambda i: F.array_max(F.filter(F.sequence(F.lit(0), i - 1), lambda b: F.substring(pattern, 1, b) == F.substring(pattern, i - b + 1, b)))
+    table = F.transform(F.sequence(F.lit(1), F.length(pattern)), longest)
+    return F.when(F.length(pattern) > 0, table).otherwise(F.array().cast("array<int>"))
+
+
 def stable_hash(item: Column | str, seed: Column | int) -> Column:
     """60 bits of md5('item#seed'): never negative, the same in any SQL engine."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)

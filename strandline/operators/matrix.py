@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.sources.shared import shared_checkpoint
@@ -28,17 +32,63 @@ def propagate(nodes: DataFrame, edges: DataFrame, key: str, features: str, dims:
     return state
 
 
-def describe_index(genomes: DataFrame, kind: str = "genome_type", size: str = "approximate_size") -> DataFrame:
-    """Adds index_kind, node_count, is_colored and description; an unknown type gives nulls."""
-    k, n = F.col(kind), F.col(size)
-    # fixed values: bases for each graph node by type
-    per_node = F.when(k == "Pangenome", 1000).when(k == "SingleCellTranscriptomic", 2000).when(k == "HiCAssay", 500)
-    linear = k.isin("Microbial", "Eukaryotic")
-    out = genomes.withColumns({
-        "index_kind": F.when(linear, "linear").when(per_node.isNotNull(), "graph"),
-        "node_count": F.floor(n / per_node).cast("long"),
-        "is_colored": F.when(per_node.isNotNull(), k == "Pangenome"),
+class IndexStrategy(Protocol):
+    """How an index of one genome type is described, as columns of the genome's size."""
+
+    kind: str
+
+    def node_count(self, size: Column) -> Column: ...
+
+    def coloured(self) -> Column: ...
+
+    def text(self, size: Column) -> Column: ...
+
+
+@dataclass(frozen=True)
+class Linear:
+    kind: str = "linear"
+
+    def node_count(self, size: Column) -> Column:
+        return F.lit(None).cast("long")
+
+    def coloured(self) -> Column:
+        return F.lit(None).cast("boolean")
+
+    def text(self, size: Column) -> Column:
+        return F.format_string("LinearIndex for genome of size: %d", size)
+
+
+@dataclass(frozen=True)
+class Graph:
+    per_node: int
+    has_colours: bool = False
+    kind: str = "graph"
+
+    def node_count(self, size: Column) -> Column:
+        return F.floor(size / self.per_node).cast("long")
+
+    def coloured(self) -> Column:
+        return F.lit(self.has_colours)
+
+    def text(self, size: Column) -> Column:
+        return F.format_string("GraphIndex with %d nodes, colored = %s", self.node_count(size), F.lit(str(self.has_colours).lower()))
+
+
+# fixed values: strategies by genome type, with the bases for each graph node
+STRATEGIES: dict[str, IndexStrategy] = {"Microbial": Linear(), "Eukaryotic": Linear(), "Pangenome": Graph(1000, True), "SingleCellTranscriptomic": Graph(2000), "HiCAssay": Graph(500)}
+
+
+def describe_index(genomes: DataFrame, kind: str = "genome_type", size: str = "approximate_size", strategies: dict[str, IndexStrategy] | None = None) -> DataFrame:
+    """Adds index_kind, node_count, is_colored and description by the type's strategy; an unknown type gives nulls.
+
+    ``strategies`` adds types to the registered ones, or replaces theirs.
+    """
+    known, n = STRATEGIES | (strategies or {}), F.col(size)
+
+    def chosen(value: Callable[[IndexStrategy], Column]) -> Column:
+        return F.coalesce(*[F.when(F.col(kind) == name, value(s)) for name, s in known.items()])
+
+    return genomes.withColumns({
+        "index_kind": chosen(lambda s: F.lit(s.kind)), "node_count": chosen(lambda s: s.node_count(n)),
+        "is_colored": chosen(lambda s: s.coloured()), "description": chosen(lambda s: s.text(n)),
     })
-    text = F.when(linear, F.format_string("LinearIndex for genome of size: %d", n)).when(
-        per_node.isNotNull(), F.format_string("GraphIndex with %d nodes, colored = %s", "node_count", F.col("is_colored").cast("string")))
-    return out.withColumn("description", text)

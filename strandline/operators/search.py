@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import prefix_table
+from strandline.functions.sequence import pieces
 
 
 def _hits(text: Column, pattern: str) -> Column:
@@ -20,9 +20,18 @@ def _hits(text: Column, pattern: str) -> Column:
     return F.when(F.length(text) >= len(pattern), starts).otherwise(F.array().cast("array<long>"))
 
 
+#: Characters searched at once.
+PIECE = 1_024
+
+
 def positions(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """(key, pos) of all matches. Many matches in a long text are found piece by piece, see ``chunk_positions``."""
-    return chunk_positions(texts, key, text, pattern, chunk=4_096)
+    """(key, pos) of all matches, in time that goes with the text."""
+    return chunk_positions(texts, key, text, pattern, max(PIECE, len(pattern)))
+
+
+def position_lists(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, positions): the places of all matches in a text, in order; texts without a match are left out."""
+    return positions(texts, key, text, pattern).groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def chunk_bounds(length: Column, n: int) -> Column:
@@ -39,23 +48,21 @@ def even_bounds(length: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * size).cast("long").alias("start"), F.when(i == n - 1, length).otherwise((i + 1) * size).cast("long").alias("end")))
 
 
-def _search(cut: DataFrame, key: str, pattern: str, overlap: int) -> DataFrame:
-    piece = F.substring(F.col("_text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start") + overlap).cast("int"))
-    found = cut.where(F.col("end") > F.col("start")).select(key, "start", piece.alias("_piece"))
-    return found.select(key, "start", F.explode(_hits(F.col("_piece"), pattern)).alias("_at")).select(key, (F.col("start") + F.col("_at")).alias("pos"))
-
-
 def chunk_positions(texts: DataFrame, key: str, text: str, pattern: str, chunk: int = 4_096, overlap: bool = True) -> DataFrame:
     """(key, pos) from chunks of ``chunk`` characters, each with the next len(pattern) - 1 characters unless ``overlap`` is off."""
-    prefix_table(pattern)
-    starts = F.sequence(F.lit(0).cast("long"), F.expr(f"(length(`{text}`) - 1L) div {chunk}"))
-    bounds = F.transform(starts, lambda i: F.struct((i * chunk).alias("start"), F.least((i + 1) * chunk, F.length(text).cast("long")).alias("end")))
-    cut = texts.where(F.length(text) > 0).select(key, F.col(text).alias("_text"), F.inline(bounds))
-    return _search(cut, key, pattern, (len(pattern) - 1) * overlap)
-
-
-def rank_positions(texts: DataFrame, key: str, text: str, pattern: str, n: int, overlap: bool = True) -> DataFrame:
-    """(key, pos) from ``n`` chunks of each text; without overlap, matches across a boundary are lost."""
-    prefix_table(pattern)
-    cut = texts.where(F.length(text) > 0).select(key, F.col(text).alias("_text"), F.inline(chunk_bounds(F.length(text), n)))
-    return _search(cut, key, pattern, (len(pattern) - 1) * overlap)
+    if not pattern:
+        raise ValueError("the pattern must not be empty")
+    if overlap and chunk < len(pattern) - 1:  # the overlap comes from one neighbour; no match is lost in larger chunks either
+        chunk = len(pattern)
+    cut = texts.where(F.length(text) > 0).select(key, F.inline(pieces(text, chunk, (len(pattern) - 1) * overlap)))
+    return cut.select(key, "start", F.explode(_hits(F.col("piece"), pattern)).alias("_at")).select(key, (F.col("start") + F.col("_at")).alias("pos"))
+
+
+def rank_positions(texts: DataFrame, key: str, text: str, pattern: str, n: int, overlap: bool = True, even: bool = False) -> DataFrame:
+    """(key, pos) from ``n`` chunks of each text, by ``chunk_bounds`` or ``even_bounds``; without overlap, matches across a
+    boundary are lost. A chunk takes its own part of the text with it, and is searched piece by piece."""
+    more = (len(pattern) - 1) * overlap
+    bounds = (even_bounds if even else chunk_bounds)(F.length(text), n)
+    parts = F.transform(bounds, lambda b: F.struct(b["start"].alias("_from"), F.substring(F.col(text), (b["start"] + 1).cast("int"), F.greatest(b["end"] - b["start"], F.lit(0)).cast("int") + F.when(b["end"] > b["start"], more).otherwise(0)).alias("_part")))
+    cut = texts.where(F.length(text) > 0).select(key, F.inline(parts)).select(F.struct(key, "_from").alias("_key"), "_part")
+    return positions(cut, "_key", "_part", pattern).select(F.col(f"_key.{key}").alias(key), (F.col("_key._from") + F.col("pos")).alias("pos"))

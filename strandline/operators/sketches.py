@@ -50,6 +50,11 @@ def signature(mins: DataFrame, key: str) -> DataFrame:
     return mins.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", "min_hash"))), lambda x: x["min_hash"]).alias("signature"))
 
 
+def first_minima(mins: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """(key, signature): the first ``n`` minima of each signature; only those are gathered."""
+    return signature(mins.where(F.col("seed") < n), key)
+
+
 def jaccard(mins: DataFrame, key: str, others: DataFrame | None = None) -> DataFrame:
     """(a, b, jaccard): the share of equal minima, for the pairs of two tables of signatures, or a < b of one."""
     other = mins if others is None else others

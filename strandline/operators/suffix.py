@@ -68,5 +68,8 @@ def chunk_suffix_arrays(texts: DataFrame, key: str, text: str, chunk: int = 1_00
 
 
 def first_suffixes(texts: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
-    """The first ``n`` entries of each array."""
-    return suffix_arrays(texts, key, text).where(F.col("rank") < n)
+    """The first ``n`` entries of each array: a short record's array is cut before it becomes rows."""
+    near = texts.where((F.length(text) > 0) & (F.length(text) <= IN_PLACE))
+    short = near.select(key, F.posexplode(F.slice(_sorted_positions(F.col(text)), 1, n)).alias("rank", "pos")).withColumn("rank", F.col("rank").cast("long"))
+    far = texts.where(F.length(text) > IN_PLACE)
+    return short if far.isEmpty() else short.unionByName(long_suffix_arrays(far, key, text).where(F.col("rank") < n))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import kmers
 from strandline.operators import graphs, sketches, suffix
 from strandline.sources import readers, writers
 
@@ -26,7 +25,7 @@ def graph_and_filter(spark: SparkSession, path: str, out: str, k: int = 31, prob
     nodes = spark.read.schema("kmer string, edges array<string>").json(f"{out}/graph")
     n = nodes.count()
     m = sketches.bloom_size(n)
-    items = reads.where(F.length("seq") >= k).select(F.explode(kmers("seq", k)).alias("kmer"))
+    items = graphs.windows(reads, k).select("kmer")
     sketches.bloom_bits(items, "kmer", m, 3).write.mode("overwrite").parquet(f"{out}/bloom")
     asked = spark.createDataFrame([(0, probe)], "key long, item string")
     hit = sketches.bloom_probe(asked, "key", "item", spark.read.schema("bit long").parquet(f"{out}/bloom"), m, 3).head()

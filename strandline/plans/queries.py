@@ -115,7 +115,7 @@ def debruijn_simple(spark, sf_dir):
 PARTIAL_SQL = f"""{READS_SQL}, k AS (SELECT read_id // 200 AS chunk_id, read_id, i, substr(s, i, 31) AS kmer
     FROM (SELECT read_id, s, unnest(range(1, length(s) - 29)) AS i FROM reads)),
   f AS (SELECT chunk_id, kmer, min(read_id * 1000 + i) AS o FROM k GROUP BY chunk_id, kmer),
-  node AS (SELECT chunk_id, kmer, (row_number() OVER (PARTITION BY chunk_id ORDER BY o) - 1)::BIGINT AS node FROM f)"""
+  node AS MATERIALIZED (SELECT chunk_id, kmer, (row_number() OVER (PARTITION BY chunk_id ORDER BY o) - 1)::BIGINT AS node FROM f)"""
 
 
 @query(f"WITH {PARTIAL_SQL} SELECT chunk_id::BIGINT AS chunk_id, kmer, node FROM node")
@@ -123,10 +123,11 @@ def partial_nodes(spark, sf_dir):
     return graphs.partial_nodes(reads(spark, sf_dir), 31, "read_id", "s", chunk=200)
 
 
-@query(f"""WITH {PARTIAL_SQL}, e AS (SELECT a.chunk_id, a.kmer AS src, b.kmer AS dst, count(*)::BIGINT AS n
-    FROM k a JOIN k b ON a.read_id = b.read_id AND b.i = a.i + 1 GROUP BY a.chunk_id, a.kmer, b.kmer)
-  SELECT e.chunk_id::BIGINT AS chunk_id, x.node AS a, y.node AS b, n FROM e JOIN node x ON x.chunk_id = e.chunk_id AND x.kmer = src
-  JOIN node y ON y.chunk_id = e.chunk_id AND y.kmer = dst""")
+@query(f"""WITH {PARTIAL_SQL}, s AS MATERIALIZED (SELECT chunk_id, read_id, i, kmer, lead(kmer) OVER (PARTITION BY read_id ORDER BY i) AS nxt FROM k),
+  e AS MATERIALIZED (SELECT chunk_id, kmer AS src, nxt AS dst, count(*)::BIGINT AS n FROM s WHERE nxt IS NOT NULL GROUP BY chunk_id, kmer, nxt),
+  name AS MATERIALIZED (SELECT chunk_id || ' ' || kmer AS label, node FROM node)
+  SELECT e.chunk_id::BIGINT AS chunk_id, (SELECT any_value(node) FROM name WHERE label = e.chunk_id || ' ' || e.src) AS a,
+    (SELECT any_value(node) FROM name WHERE label = e.chunk_id || ' ' || e.dst) AS b, n FROM e""")
 def partial_debruijn(spark, sf_dir):
     return graphs.partial_edges(reads(spark, sf_dir), 31, "read_id", "s", chunk=200)
 
@@ -196,7 +197,8 @@ MINHASH_SQL = f"""{READS_SQL}, k AS (SELECT DISTINCT lang, substr(s, i, 6) AS km
 
 
 def _minhash(spark, sf_dir):
-    kmers = reads(spark, sf_dir).select("lang", F.explode(S.kmers("s", 6)).alias("kmer")).distinct()
+    kmers = reads(spark, sf_dir).select("lang", F.col("s"))
+    kmers = graphs.windows(kmers, 6, "s", ("lang",)).select("lang", "kmer").distinct()
     return sketches.minhash(kmers, "lang", "kmer", 16)
 
 
@@ -278,9 +280,9 @@ def vcf_alleles_motif(spark, sf_dir):
 
 
 @query(f"""SELECT r AS row, (('0x'||substr(md5(r||'#1'),1,15))::BIGINT % 2)::INT AS label,
-  round(list_sum(list_transform(range(0, 1000), lambda i: ((('0x'||substr(md5(r||':'||i||'#0'),1,15))::BIGINT % 1000000) / 100000.0)::FLOAT::DOUBLE)), 3) AS total FROM range(0, 100) AS t(r)""")
+  round(list_sum(list_transform(range(0, 10000), lambda i: ((('0x'||substr(md5(r||':'||i||'#0'),1,15))::BIGINT % 1000000) / 100000.0)::FLOAT::DOUBLE)), 3) AS total FROM range(0, 100) AS t(r)""")
 def expression_matrix(spark, sf_dir):
-    m = generators.expression_matrix(spark, 100, 1000)
+    m = generators.expression_matrix(spark, 100, 10_000)
     return m.select("row", "label", F.round(F.aggregate("features", F.lit(0.0).cast("double"), lambda t, x: t + x.cast("double")), 3).alias("total"))
 
 
@@ -288,3 +290,63 @@ def expression_matrix(spark, sf_dir):
 def constant_matrix(spark, sf_dir):
     m = generators.constant_matrix(spark, 128, 64)
     return m.select("row", F.size("features").cast("long").alias("width"), F.aggregate("features", F.lit(0.0).cast("double"), lambda t, x: t + x.cast("double")).alias("total"))
+
+
+@query(f"""WITH {READS_SQL}, d AS (SELECT seq_id, pos FROM (SELECT read_id AS seq_id, unnest(range(0, length(s) - 1))::BIGINT AS pos FROM reads))
+  SELECT seq_id, pos, pos + 1 AS nbr_pos FROM d ORDER BY seq_id, pos LIMIT 5""")
+def mrf_first(spark, sf_dir):
+    """The report's first five edges in order."""
+    return graphs.chain_field(reads(spark, sf_dir), "read_id", "s").orderBy("seq_id", "pos").limit(5).select("seq_id", "pos", "nbr_pos")
+
+
+@query(f"""WITH {_edges_sql(10, ', lang')}, g AS (SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ',') AS successors FROM e GROUP BY src)
+  SELECT src, successors FROM g ORDER BY src LIMIT 5""")
+def pangenome_first(spark, sf_dir):
+    """The report's first five nodes in order, with their successors."""
+    edges = graphs.pangenome(reads(spark, sf_dir), 10, "lang", "s")
+    return edges.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("successors")).orderBy("src").limit(5)
+
+
+@query(f"""WITH {MINHASH_SQL} SELECT lang, array_to_string(list(min_hash ORDER BY seed), ',') AS signature FROM m WHERE seed < 5 GROUP BY lang""")
+def minhash_first(spark, sf_dir):
+    return sketches.first_minima(_minhash(spark, sf_dir), "lang", 5).select("lang", F.array_join("signature", ",").alias("signature"))
+
+
+@query(f"""WITH h AS ({KMP_SQL}) SELECT doc_id, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM h GROUP BY doc_id""")
+def kmp_position_lists(spark, sf_dir):
+    lists = search.position_lists(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "tion")
+    return lists.select("doc_id", F.array_join("positions", ",").alias("positions"))
+
+
+@query("""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, 8)) AS chunk FROM d)
+  SELECT doc_id, chunk::BIGINT AS chunk, (chunk * (n // 8))::BIGINT AS start, (CASE WHEN chunk = 7 THEN n ELSE (chunk + 1) * (n // 8) END)::BIGINT AS stop FROM c""")
+def even_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(search.even_bounds(F.length(F.coalesce("text", F.lit(""))), 8)).alias("chunk", "b"))
+    return docs.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("b.start").alias("start"), F.col("b.end").alias("stop"))
+
+
+@query(KMP_SQL)
+def kmp_positions_even(spark, sf_dir):
+    """By chunks of rounded-down size, the last one with the rest."""
+    return search.rank_positions(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "tion", 8, even=True)
+
+
+@query("""WITH p AS (SELECT n_nationkey, n_name AS p, unnest(range(1, length(n_name) + 1)) AS i FROM nation)
+  SELECT n_nationkey, (i - 1)::BIGINT AS pos, list_max(list_filter(range(0, i), lambda b: substr(p, 1, b) = substr(p, i - b + 1, b)))::INT AS border FROM p""")
+def pattern_borders(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(S.borders("n_name")).alias("pos", "border")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""SELECT kmer, count(*)::BIGINT AS n FROM (SELECT substr(text, unnest(range(1, length(text) - 1)), 3) AS kmer FROM documents) GROUP BY kmer""")
+def text_windows(spark, sf_dir):
+    """Windows of whole texts, which are as long as they come."""
+    return graphs.windows(table(spark, sf_dir, "documents").select("text"), 3, "text").groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH e AS (SELECT substr(text, i, 2) AS src, substr(text, i + 1, 2) AS dst FROM (SELECT text, unnest(range(1, length(text) - 1)) AS i FROM documents))
+  SELECT src, dst, count(*)::BIGINT AS n FROM e GROUP BY src, dst""")
+def text_edges(spark, sf_dir):
+    return graphs.edge_counts(table(spark, sf_dir, "documents").select("text"), 2, "text")
+
+
+from strandline.plans import files  # noqa: E402,F401  (registers its queries)

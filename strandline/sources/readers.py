@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import struct
 import urllib.request
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.sources.shared import importable
+from strandline.sources.shared import importable, shared_checkpoint
 
 Paths = str | list[str]
 
@@ -40,9 +43,35 @@ def _decoded(value: Column, errors: str) -> Column:
     raise ValueError("encoding_errors must be strict or replace")
 
 
+def _first_lines(spark: SparkSession, paths: Paths) -> dict[str, str]:
+    """The first line with anything in it of each file, of its first 64 kB after decompression; files are opened side by side."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(name: str) -> tuple[str, str]:
+        where = hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        stream, codec = where.getFileSystem(conf).open(where), codecs.getCodec(where)
+        try:
+            raw = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(codec.createInputStream(stream) if codec else stream, 1 << 16)))
+        finally:
+            stream.close()
+        return name, next((x for x in raw.decode("utf-8", "replace").splitlines() if x.strip()), "")
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(pool.map(first, spark.read.text(paths).inputFiles()))
+
+
 def read_fasta(spark: SparkSession, paths: Paths, mode: str = "FAILFAST", encoding_errors: str = "strict") -> DataFrame:
-    """(id, description, seq, file). Records begin at a '>' that follows a line end, so headers may hold '>'."""
+    """(id, description, seq, file). Records begin at a '>' that follows a line end, so headers may hold '>'.
+
+    What stands in a file before its first '>' is no record: FAILFAST raises, DROPMALFORMED leaves it out.
+    """
+    stray = {name: line for name, line in _first_lines(spark, paths).items() if line and not line.startswith(">")}
+    if stray and mode == "FAILFAST":
+        raise ValueError(f"not a FASTA file: {min(stray)}")
     raw = spark.read.option("lineSep", "\n>").text(paths).select(_decoded(F.col("value"), encoding_errors).alias("value"), F.col("_metadata.file_path").alias("file"))
+    for name, line in stray.items():
+        raw = raw.where(~((F.regexp_replace("file", "^file:/+", "file:/") == re.sub("^file:/+", "file:/", name)) & F.startswith(F.ltrim("value"), F.lit(line))))
     body = F.regexp_replace("value", "^>", "")
     cut = F.split(body, "\n", 2)
     header = F.rtrim(F.regexp_replace(cut[0], "\r$", ""))
@@ -65,15 +94,49 @@ def read_fastq(spark: SparkSession, paths: Paths, mode: str = "FAILFAST", encodi
     return _policy(out, F.coalesce(ok, F.lit(False)), mode, "FASTQ").drop("_plus")
 
 
-def _fastq_records(data: bytes, mode: str) -> Iterator[tuple]:
-    lines = data.decode("utf-8").splitlines()
-    for i in range(0, len(lines) - 3, 4):
-        head, seq, plus, qual = lines[i : i + 4]
-        if head[:1] != "@" or plus[:1] != "+" or len(seq) != len(qual):
-            if mode == "FAILFAST":
-                raise ValueError("malformed FASTQ record")
-            continue
-        yield head[1:].split(None, 1)[0] if head[1:].strip() else "", seq, qual
+FASTQ_PARTS = "id string, seq string, plus string, qual string, fits boolean, state int, file string, start long, stop long"
+
+
+def _fastq_parts(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (value, file, start, length) cut at lines that start with '@', in order, to records (state 0).
+
+    A row of three lines waits for its quality, which starts with '@' and is the row behind. At a block's end it goes out as
+    state 2, and a quality at a block's begin as state 1.
+    """
+    names = [x.split(" ")[0] for x in FASTQ_PARTS.split(", ")]
+    kinds = [pa.string()] * 4 + [pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+    block, waiting = None, None
+    for batch in stream:
+        out = []
+        for value, *where in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start", "length")), strict=True):
+            begins = where != block
+            if begins and waiting:
+                out.append((*waiting, None, True, 2, block[0], block[1], block[1] + block[2]))
+            block, waiting = where, None if begins else waiting
+            lines = value.replace("\r", "").rstrip("\n").split("\n")
+            at = (where[0], where[1], where[1] + where[2])
+            if begins and where[1] == 0:
+                if not any(lines):
+                    continue
+                named = lines[0].startswith("@")
+                lines[0] = lines[0].removeprefix("@")
+            else:
+                named = True
+            if waiting and len(lines) > 1:  # no quality follows: that record is malformed, this one may be sound
+                out.append((*waiting, None, False, 0, *at))
+                waiting = None
+            if waiting:
+                out.append((*waiting, "@" + lines[0], True, 0, *at))
+                waiting = None
+            elif len(lines) == 1 and begins and where[1]:
+                out.append((None, None, None, "@" + lines[0], True, 1, *at))
+            elif len(lines) == 3 and named:
+                waiting = tuple(lines)
+            else:
+                out.append((*(lines + [None] * 4)[:4], named and len(lines) == 4, 0, *at))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*waiting, None, True, 2, block[0], block[1], block[1] + block[2]), kinds, strict=True)], names)
 
 
 def _per_file(spark: SparkSession, paths: Paths, parse, schema: str) -> DataFrame:
@@ -95,8 +158,22 @@ def _per_file(spark: SparkSession, paths: Paths, parse, schema: str) -> DataFram
 
 
 def read_fastq_exact(spark: SparkSession, paths: Paths, mode: str = "FAILFAST") -> DataFrame:
-    """(id, seq, qual, file) with every quality line, a file at a time."""
-    return _per_file(spark, paths, lambda data: _fastq_records(data, mode), "id string, seq string, qual string, file string")
+    """(id, seq, qual, file) with every quality line, whatever it starts with; files are split as by ``read_fastq``.
+
+    A first pass finds the records that lie on both sides of a split, one at most for each. A record that the file's end cuts
+    off is malformed.
+    """
+    where = F.col("_metadata")
+    raw = importable(spark).read.option("lineSep", "\n@").text(paths).select("value", where["file_path"].alias("file"), where["file_block_start"].alias("start"), where["file_block_length"].alias("length"))
+    parts = raw.mapInArrow(_fastq_parts, FASTQ_PARTS)
+    loose = shared_checkpoint(parts.where("state > 0"))
+    heads = loose.where("state = 1").select(F.col("file").alias("_file"), F.col("start").alias("_start"), F.col("qual").alias("_qual"))
+    both = loose.where("state = 2").join(heads, (F.col("file") == F.col("_file")) & (F.col("stop") == F.col("_start")), "full")
+    joined = both.select("id", "seq", "plus", F.col("_qual").alias("qual"), (F.col("_qual").isNotNull() & F.col("id").isNotNull()).alias("fits"), F.coalesce("file", "_file").alias("file"))
+    every = parts.where("state = 0").select("id", "seq", "plus", "qual", "fits", "file").unionByName(joined)
+    ok = F.col("fits") & F.startswith("plus", F.lit("+")) & (F.length("qual") == F.length("seq"))
+    told = every.select(F.regexp_extract(F.coalesce("id", F.lit("")), r"^(\S*)", 1).alias("id"), "seq", "plus", "qual", "fits", "file")
+    return _policy(told, F.coalesce(ok, F.lit(False)), mode, "FASTQ").drop("plus", "fits")
 
 
 def read_fastx(spark: SparkSession, paths: Paths, mode: str = "FAILFAST", encoding_errors: str = "strict") -> DataFrame:
