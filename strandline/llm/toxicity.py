@@ -138,11 +138,14 @@ def compile_lexicon(words: list[str], stems: list[str], telling: set[str] | None
     return Lexicon(np.array(rows, np.int32), classes, np.array(accepts, np.int8))
 
 
-def _tokens(text: str) -> set[str]:
+def _tokens(text: str, known: dict[str, str] | None = None) -> set[str]:
+    """The different words of a text; each is kept once in ``known``, however many texts have it."""
+    known = {} if known is None else known
     raw = np.frombuffer(text.encode(), np.uint8)
     start, end, _ = T.words(raw, np.array([0, len(raw)]), T.TOKEN)
     low = T.LOWER[raw].tobytes()
-    return {low[a:b].decode("utf-8", "ignore") for a, b in zip(start.tolist(), end.tolist(), strict=True)}
+    words = {low[a:b].decode("utf-8", "ignore") for a, b in zip(start.tolist(), end.tolist(), strict=True)}
+    return {known.setdefault(w, w) for w in words}
 
 
 def _words_by_chance(a: int, b: int, share: float) -> float:
@@ -179,11 +182,16 @@ def _one_of_copies(texts: list[set[str]], alike: float = 0.5) -> list[set[str]]:
     return out
 
 
-def choose_entries(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
+def token_sets(rows: list[tuple[str, int]]) -> list[tuple[set[str], int]]:
+    known: dict[str, str] = {}
+    return [(_tokens(t, known), y) for t, y in rows]
+
+
+def choose_entries(rows: list[tuple[str, int]], sets: list[tuple[set[str], int]] | None = None) -> tuple[list[str], list[str]]:
     """(words, stems) that tell toxic texts from the others by document counts: all whose evidence is such that chance gives
     at most one entry of the kind. Words of many toxic texts also enter where the sample is too small for that."""
     toxic, clean = Counter(), Counter()
-    sets = [(_tokens(t), y) for t, y in rows]
+    sets = token_sets(rows) if sets is None else sets
     n1 = max(sum(1 for _, y in sets if y), 1)
     n0 = max(len(sets) - n1, 1)
     for words, y in sets:
@@ -276,6 +284,21 @@ def found(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return np.stack([rows, start[at] - offsets[rows], end[at] - offsets[rows], flags, kinds[at].astype(np.int64)], 1), np.diff(first)
 
 
+def _found_in(texts: list[str], lexicon: Lexicon, size: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """``found`` in texts, about ``size`` bytes of them at once."""
+    hits, tokens, begun, held = [], [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size or i == len(texts) - 1:
+            raw = [x.encode() for x in texts[begun : i + 1]]
+            some, counts = found(lexicon, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+            some[:, 0] += begun
+            hits.append(some)
+            tokens.append(counts)
+            begun, held = i + 1, 0
+    return np.concatenate([np.zeros((0, 5), np.int64), *hits]), np.concatenate([np.zeros(0, np.int64), *tokens])
+
+
 def weighed(hits: np.ndarray, tokens: np.ndarray, factors: tuple[float, ...], stem_rate: float) -> np.ndarray:
     """For each text log(1 + weighed hits), exact and with an edit, whether there are any, and the excess of stems."""
     x = np.zeros((len(tokens), 5))
@@ -372,11 +395,11 @@ def _fit_factors(hits: np.ndarray, tokens: np.ndarray, y: np.ndarray, rate: floa
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
-    words, stems = choose_entries(rows) if rows else ([], [])
     if not rows:
         return Model(compile_lexicon([], []), np.array([-5.0, 0, 0, 0, 0, 0]))
     y = np.array([int(v) for _, v in rows], float)
-    sets = [(_tokens(t), v) for t, v in rows]
+    sets = token_sets(rows)
+    words, stems = choose_entries(rows, sets)
     telling, harmless = learn_edits(words, sets)
     lexicon = compile_lexicon(words, stems, telling, harmless)
     # hits of each half by harmless words of the other one, as new texts will have them
@@ -384,10 +407,10 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for h in (0, 1):
         others = set().union(*(v for v, toxic in sets[1 - h :: 2] if not toxic))
         apart = compile_lexicon(words, stems, telling, harmless & others)
-        raw = [t.encode() for t, _ in rows[h::2]]
-        hits, tokens = found(apart, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+        hits, tokens = _found_in([t for t, _ in rows[h::2]], apart)
         hits[:, 0] = hits[:, 0] * 2 + h
         parts.append((hits, tokens))
+    del sets
     hits, tokens = np.concatenate([p[0] for p in parts]), np.zeros(len(rows), np.int64)
     for h in (0, 1):
         tokens[h::2] = parts[h][1]
