@@ -337,16 +337,22 @@ def pattern_borders(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(S.borders("n_name")).alias("pos", "border")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("""SELECT kmer, count(*)::BIGINT AS n FROM (SELECT substr(text, unnest(range(1, length(text) - 1)), 3) AS kmer FROM documents) GROUP BY kmer""")
+def dealt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts dealt to all cores: a table of one row group is one task, and windows are many times the text."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id").select("text")
+
+
+@query("""WITH k AS (SELECT unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i+1] || l[i+2])) AS kmer FROM (SELECT string_split(text, '') AS l FROM documents WHERE text <> ''))
+  SELECT kmer, count(*)::BIGINT AS n FROM k GROUP BY kmer""")
 def text_windows(spark, sf_dir):
     """Windows of whole texts, which are as long as they come."""
-    return graphs.windows(table(spark, sf_dir, "documents").select("text"), 3, "text").groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return graphs.windows(dealt_texts(spark, sf_dir), 3, "text").groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH e AS (SELECT substr(text, i, 2) AS src, substr(text, i + 1, 2) AS dst FROM (SELECT text, unnest(range(1, length(text) - 1)) AS i FROM documents))
-  SELECT src, dst, count(*)::BIGINT AS n FROM e GROUP BY src, dst""")
+@query("""WITH k AS (SELECT unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i+1] || l[i+2])) AS w FROM (SELECT string_split(text, '') AS l FROM documents WHERE text <> ''))
+  SELECT substr(w, 1, 2) AS src, substr(w, 2, 2) AS dst, count(*)::BIGINT AS n FROM k GROUP BY w""")
 def text_edges(spark, sf_dir):
-    return graphs.edge_counts(table(spark, sf_dir, "documents").select("text"), 2, "text")
+    return graphs.edge_counts(dealt_texts(spark, sf_dir), 2, "text")
 
 
 from strandline.plans import files  # noqa: E402,F401  (registers its queries)
