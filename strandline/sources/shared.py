@@ -44,11 +44,24 @@ def shared_checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; a longer row is a batch by itself.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by bytes, unless the session has a bound: by default 10,000 rows of any length are held at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH))
+    return spark
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers started from now on import this package from where the driver has it.
+    """Lets Python workers started from now on import this package from where the driver has it, in batches of bounded bytes.
 
     A cluster gets the package with --py-files or from its image; this is for workers that see the driver's path.
     """
+    bounded_batches(spark)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):
