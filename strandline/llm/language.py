@@ -179,4 +179,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(stream):
         yield from _label(shared.value)(stream)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(T.tidy(run), schema)

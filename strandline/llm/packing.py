@@ -14,12 +14,14 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm import textbuf as T
 from strandline.sources.shared import importable
 
 VOCABULARY, END_ID, ROW, GROUP = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256, 2048, 2_000_000
@@ -27,7 +29,9 @@ VOCABULARY, END_ID, ROW, GROUP = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256,
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+@lru_cache(maxsize=1)
 def encoder(vocabulary: str):
+    """The tokenizer of a vocabulary file, built once in each worker."""
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
@@ -139,7 +143,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, ro
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(T.tidy(run), SCHEMA)
 
 
 def write(packed: DataFrame, path: str) -> None:
@@ -159,6 +163,6 @@ def unpack(packed: DataFrame, end_id: int = END_ID) -> DataFrame:
                 out += [(d, s, ids[a:b].astype(np.int32).tolist()) for d, s, a, b in zip(r["doc_ids"], r["piece_starts"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["doc_id", "start", "part"])
 
-    parts = packed.mapInArrow(run, "doc_id long, start long, part array<int>")
+    parts = packed.mapInArrow(T.tidy(run), "doc_id long, start long, part array<int>")
     whole = F.array_sort(F.collect_list(F.struct("start", "part")))
     return parts.groupBy("doc_id").agg(F.flatten(F.transform(whole, lambda x: x["part"])).alias("ids"))

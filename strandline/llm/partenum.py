@@ -368,23 +368,23 @@ def _classes(docs: DataFrame, percent: int, width: int, n2: int, k2: int) -> tup
     of each set that has a doc_id: root names its component."""
     importable(docs.sparkSession)
     docs = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
-    named = shared_checkpoint(docs.mapInArrow(_name_sets(width), "doc_id long, mark long, n_shingles long, set_id long, sketch binary"))
+    named = shared_checkpoint(docs.mapInArrow(T.tidy(_name_sets(width)), "doc_id long, mark long, n_shingles long, set_id long, sketch binary"))
     texts = docs.where(F.col("doc_id").isNotNull())
     first = named.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     first = shared_checkpoint(first.select("set_id", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("rep_mark"), "n", "sketch"))
-    signed = texts.select("text").mapInArrow(_sign_sets(width, percent, n2, k2), "sig long, set_id long")
-    groups = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_groups, "grp long, set_id long").distinct()
+    signed = texts.select("text").mapInArrow(T.tidy(_sign_sets(width, percent, n2, k2)), "sig long, set_id long")
+    groups = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(T.tidy(_groups), "grp long, set_id long").distinct()
     groups = shared_checkpoint(groups)
     sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES).cast("int").alias("parts"))
     drawn = groups.join(sizes, "grp").join(first.select("set_id", "n", "sketch"), "set_id").select("grp", "set_id", "n", "sketch", "parts")
-    possible = _in_blocks(drawn, "grp").mapInArrow(_searched(["grp", "x", "y"], _by_sketch(percent)), "a long, b long").distinct()
+    possible = _in_blocks(drawn, "grp").mapInArrow(T.tidy(_searched(["grp", "x", "y"], _by_sketch(percent))), "a long, b long").distinct()
     near = shared_checkpoint(components(possible))
 
     sized = near.join(first.drop("sketch"), F.col("node") == F.col("set_id"))
     total = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("parts"))
     asked = sized.join(total, "root").select(F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark"), "set_id", F.col("root").alias("comp"), "parts")
-    sets = asked.join(texts, ["doc_id", "mark"]).select("set_id", "comp", "parts", "text").mapInArrow(_features(width), "set_id long, comp long, parts int, features array<long>")
-    links = _in_blocks(sets, "comp").mapInArrow(_searched(["comp", "x", "y"], _by_features(percent)), "a long, b long")
+    sets = asked.join(texts, ["doc_id", "mark"]).select("set_id", "comp", "parts", "text").mapInArrow(T.tidy(_features(width)), "set_id long, comp long, parts int, features array<long>")
+    links = _in_blocks(sets, "comp").mapInArrow(T.tidy(_searched(["comp", "x", "y"], _by_features(percent))), "a long, b long")
     return named.drop("sketch"), shared_checkpoint(_least(components(links), first))
 
 

@@ -240,25 +240,25 @@ def _matched(docs: DataFrame, benchmark: DataFrame, cover: float, bits: int) ->
     spark = importable(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     items = shared_checkpoint(items.withColumn("item", F.monotonically_increasing_id()))
-    places = items.select("item", "text").mapInArrow(_seeds_of_items, "item long, n int, place int, seed long")
+    places = items.select("item", "text").mapInArrow(T.tidy(_seeds_of_items), "item long, n int, place int, seed long")
     usual = places.groupBy("seed").agg(F.count_distinct("item").alias("usual"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("usual")).alias("usual"), "place", "seed")))
-    asked = places.join(usual, "seed").groupBy("item", "n").agg(ranked.alias("seeds")).mapInArrow(_asked(cover), "item long, width int, seed long")
+    asked = places.join(usual, "seed").groupBy("item", "n").agg(ranked.alias("seeds")).mapInArrow(T.tidy(_asked(cover)), "item long, width int, seed long")
     asked = shared_checkpoint(asked)
     widths = [r["width"] for r in asked.select("width").distinct().collect()]  # SEED of them at most
     bit = F.col("bit") + 1
-    words = asked.select("seed").mapInArrow(_bit_rows(bits), "bit long").select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"))
+    words = asked.select("seed").mapInArrow(T.tidy(_bit_rows(bits)), "bit long").select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"))
     words = words.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bitmap")).collect()  # 2^BITS bits in all
     shared = spark.sparkContext.broadcast([(r["bucket"] - 1, bytes(r["bitmap"])) for r in words])
 
-    near = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(_found_seeds(shared, widths, bits), "doc_id long, text string, seeds array<long>")
+    near = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(T.tidy(_found_seeds(shared, widths, bits)), "doc_id long, text string, seeds array<long>")
     near = shared_checkpoint(near.withColumn("row", F.monotonically_increasing_id()))
     salted = asked.select("seed", "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     found = near.select("row", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("seeds").alias("seed"))
     pairs = found.join(salted, ["seed", "salt"]).select("row", "item").distinct()
     theirs = pairs.join(items, "item").select("row", F.lit(1).alias("kind"), F.col("item_id").alias("id"), F.lit(None).cast("long").alias("print"), "text")
     ours = near.select("row", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"), "text")
-    return ours.unionByName(theirs).repartition("row").sortWithinPartitions("row", "kind").mapInArrow(_laid(cover), SCHEMA)
+    return ours.unionByName(theirs).repartition("row").sortWithinPartitions("row", "kind").mapInArrow(T.tidy(_laid(cover)), SCHEMA)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, bits: int = BITS) -> DataFrame:

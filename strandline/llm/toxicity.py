@@ -461,7 +461,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), lists], ["doc_id", "held_out", "score", "predicted", "hits"])
 
     given = docs.select("doc_id", "text").withColumn("held_out", learning.held_out())
-    return given.mapInArrow(_scored(shared, "text", finish), "doc_id long, held_out boolean, score double, predicted int, hits array<struct<start:long,end:long,weight:double,exact:boolean>>")
+    return given.mapInArrow(T.tidy(_scored(shared, "text", finish)), "doc_id long, held_out boolean, score double, predicted int, hits array<struct<start:long,end:long,weight:double,exact:boolean>>")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -470,4 +470,4 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     names = [f"k{i}" for i in range(len(docs.columns))]
     given = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)])
     keep = _scored(shared, names[docs.columns.index("text")], lambda rows, p, _: rows.filter(pa.array(p < 0.5)))
-    return given.mapInArrow(keep, given.schema).select(*[F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)])
+    return given.mapInArrow(T.tidy(keep), given.schema).select(*[F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)])
