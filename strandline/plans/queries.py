@@ -112,7 +112,7 @@ def debruijn_simple(spark, sf_dir):
     return graphs.simple_graph(reads(spark, sf_dir), 5, "s").withColumn("edges", F.array_join("edges", ","))
 
 
-PARTIAL_SQL = f"""{READS_SQL}, k AS (SELECT read_id // 200 AS chunk_id, read_id, i, substr(s, i, 31) AS kmer
+PARTIAL_SQL = f"""{READS_SQL}, k AS (SELECT read_id // 100000 AS chunk_id, read_id, i, substr(s, i, 31) AS kmer
     FROM (SELECT read_id, s, unnest(range(1, length(s) - 29)) AS i FROM reads)),
   f AS (SELECT chunk_id, kmer, min(read_id * 1000 + i) AS o FROM k GROUP BY chunk_id, kmer),
   node AS MATERIALIZED (SELECT chunk_id, kmer, (row_number() OVER (PARTITION BY chunk_id ORDER BY o) - 1)::BIGINT AS node FROM f)"""
@@ -120,7 +120,7 @@ PARTIAL_SQL = f"""{READS_SQL}, k AS (SELECT read_id // 200 AS chunk_id, read_id,
 
 @query(f"WITH {PARTIAL_SQL} SELECT chunk_id::BIGINT AS chunk_id, kmer, node FROM node")
 def partial_nodes(spark, sf_dir):
-    return graphs.partial_nodes(reads(spark, sf_dir), 31, "read_id", "s", chunk=200)
+    return graphs.partial_nodes(reads(spark, sf_dir), 31, "read_id", "s")
 
 
 @query(f"""WITH {PARTIAL_SQL}, s AS MATERIALIZED (SELECT chunk_id, read_id, i, kmer, lead(kmer) OVER (PARTITION BY read_id ORDER BY i) AS nxt FROM k),
@@ -129,7 +129,7 @@ def partial_nodes(spark, sf_dir):
   SELECT e.chunk_id::BIGINT AS chunk_id, (SELECT any_value(node) FROM name WHERE label = e.chunk_id || ' ' || e.src) AS a,
     (SELECT any_value(node) FROM name WHERE label = e.chunk_id || ' ' || e.dst) AS b, n FROM e""")
 def partial_debruijn(spark, sf_dir):
-    return graphs.partial_edges(reads(spark, sf_dir), 31, "read_id", "s", chunk=200)
+    return graphs.partial_edges(reads(spark, sf_dir), 31, "read_id", "s")
 
 
 SUFFIX_SQL = f"""WITH {READS_SQL}, x AS (SELECT read_id, s, unnest(range(0, length(s))) AS pos FROM reads),
@@ -155,34 +155,19 @@ def partial_suffix_array(spark, sf_dir):
     return suffix.chunk_suffix_arrays(reads(spark, sf_dir), "read_id", "s", 32)
 
 
-def _slots_sql(where: str) -> str:
-    h = HASH_SQL.format(x="s", seed="seed")
-    return f"SELECT read_id, {h} % 50000 AS bit FROM (SELECT read_id, s, unnest(range(0, 5)) AS seed FROM reads WHERE {where})"
+SLOTS_SQL = f"SELECT {HASH_SQL.format(x='s', seed='seed')} % 50000 AS bit FROM (SELECT s, unnest(range(0, 5)) AS seed FROM reads)"
 
 
-@query(f"WITH {READS_SQL} SELECT DISTINCT bit::BIGINT AS bit FROM ({_slots_sql('read_id % 2 = 0')})")
+@query(f"WITH {READS_SQL} SELECT DISTINCT bit::BIGINT AS bit FROM ({SLOTS_SQL})")
 def bloom_bits(spark, sf_dir):
-    return sketches.bloom_bits(reads(spark, sf_dir).where("read_id % 2 = 0"), "s")
-
-
-@query(f"""WITH {READS_SQL}, b AS (SELECT DISTINCT bit FROM ({_slots_sql('read_id % 2 = 0')}))
-  SELECT p.read_id, bool_and(b.bit IS NOT NULL) AS maybe FROM ({_slots_sql('true')}) p LEFT JOIN b ON p.bit = b.bit GROUP BY p.read_id""")
-def bloom_probe(spark, sf_dir):
-    strands = reads(spark, sf_dir)
-    return sketches.bloom_probe(strands, "read_id", "s", sketches.bloom_bits(strands.where("read_id % 2 = 0"), "s"))
-
-
-@query(f"WITH {READS_SQL} SELECT DISTINCT bit::BIGINT AS bit FROM ({_slots_sql('true')})")
-def bloom_bits_all(spark, sf_dir):
-    """The bits of every read; bloom_bits has those of even ids."""
     return sketches.bloom_bits(reads(spark, sf_dir), "s")
 
 
-@query(f"""WITH {READS_SQL}, b AS (SELECT DISTINCT bit FROM ({_slots_sql('true')})),
+@query(f"""WITH {READS_SQL}, b AS (SELECT DISTINCT bit FROM ({SLOTS_SQL})),
   p AS (SELECT read_id, true AS member, s FROM reads UNION ALL SELECT read_id, false AS member, reverse(s) AS s FROM reads),
   q AS (SELECT read_id, member, {HASH_SQL.format(x='s', seed='seed')} % 50000 AS bit FROM (SELECT read_id, member, s, unnest(range(0, 5)) AS seed FROM p))
   SELECT q.read_id, q.member, bool_and(b.bit IS NOT NULL) AS maybe FROM q LEFT JOIN b ON q.bit = b.bit GROUP BY q.read_id, q.member""")
-def bloom_probe_all(spark, sf_dir):
+def bloom_probe(spark, sf_dir):
     """Every read is inserted; reads and, as strangers, reads spelled backwards are looked up."""
     strands = reads(spark, sf_dir)
     bits = sketches.bloom_bits(strands, "s")
@@ -193,13 +178,13 @@ def bloom_probe_all(spark, sf_dir):
 
 MINHASH_SQL = f"""{READS_SQL}, k AS (SELECT DISTINCT lang, substr(s, i, 6) AS kmer FROM (SELECT lang, s, unnest(range(1, length(s) - 4)) AS i FROM reads)),
   m AS (SELECT lang, seed::BIGINT AS seed, min({HASH_SQL.format(x='kmer', seed='seed')}) AS min_hash
-    FROM (SELECT lang, kmer, unnest(range(0, 16)) AS seed FROM k) GROUP BY lang, seed)"""
+    FROM (SELECT lang, kmer, unnest(range(0, 100)) AS seed FROM k) GROUP BY lang, seed)"""
 
 
 def _minhash(spark, sf_dir):
     kmers = reads(spark, sf_dir).select("lang", F.col("s"))
     kmers = graphs.windows(kmers, 6, "s", ("lang",)).select("lang", "kmer").distinct()
-    return sketches.minhash(kmers, "lang", "kmer", 16)
+    return sketches.minhash(kmers, "lang", "kmer")
 
 
 @query(f"WITH {MINHASH_SQL} SELECT lang, seed, min_hash FROM m")
@@ -271,11 +256,13 @@ def accelerate(spark, sf_dir):
     return vectors.select("vec_id", F.posexplode(every).alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), "x.cpu", "x.gpu", "x.fpga")
 
 
-@query("""WITH v AS (SELECT p_partkey AS id, substr(p_name, 1, 4) AS r, [substr(p_name, 5, 3), substr(p_name, 2, 3)] AS a FROM part),
+@query("""WITH v AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS r, string_split(p_name, ' ')[2:] AS a FROM part),
   t AS (SELECT id, r || array_to_string(a, ',') AS x FROM v)
   SELECT id, len(list_filter(range(1, length(x)), lambda i: substr(x, i, 2) = 'ar'))::BIGINT AS hits FROM t""")
 def vcf_alleles_motif(spark, sf_dir):
-    variants = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.substring("p_name", 1, 4).alias("ref"), F.array(F.substring("p_name", 5, 3), F.substring("p_name", 2, 3)).alias("alts"))
+    """A part's first name word as reference, the others as alternatives."""
+    names = F.split("p_name", " ")
+    variants = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), names[0].alias("ref"), F.slice(names, 2, F.size(names)).alias("alts"))
     return stats.variant_motif(variants, "ar").select("id", "hits")
 
 
