@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm import textbuf as T
 from strandline.sources.shared import ensure_checkpoint_dir, importable, passing
 
 END = "\r\n\r\n"
@@ -134,7 +135,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, segment: int
 
     names = ["page_id", "url", "payload", "digest", "revisit", "chosen", "chosen_url"]
     per_file = max(FILE_BYTES // (segment + HEADER), 1)
-    lines = told.select(*names).mapInArrow(run, "value string")
+    lines = told.select(*names).mapInArrow(T.tidy(run), "value string")
     lines.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -254,8 +255,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A missing segment, a wrong total, a broken frame or digest fails the read.
     """
     files = importable(spark).read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    pieces = files.mapInArrow(_pieces, PIECES)
-    return pieces.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(_joined, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    pieces = files.mapInArrow(T.tidy(_pieces), PIECES)
+    return pieces.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(T.tidy(_joined), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
