@@ -82,36 +82,41 @@ def read_fasta(spark: SparkSession, paths: Paths, mode: str = "FAILFAST", encodi
 
 
 def read_fastq(spark: SparkSession, paths: Paths, mode: str = "FAILFAST", encoding_errors: str = "strict") -> DataFrame:
-    """(id, seq, qual, file) of four-line records, split at a line that starts with '@'.
+    """(id, seq, qual, file) of four-line records in one pass, split at a line that starts with '@'.
 
-    A quality line may start with '@' as well: it then arrives as a row of its own and its record has three lines. The
-    record keeps id and sequence, its quality is null and the stray row is left out. ``read_fastq_exact`` keeps it.
+    A quality line may start with '@' as well and lie behind a split of the file. So that rows do not depend on splits, every
+    such quality is null; its length is checked where it is at hand. ``read_fastq_exact`` keeps it.
     """
-    raw = spark.read.option("lineSep", "\n@").text(paths).select(_decoded(F.col("value"), encoding_errors).alias("value"), F.col("_metadata.file_path").alias("file"))
-    lines = F.split(F.regexp_replace(F.regexp_replace("value", "^@", ""), "\r", ""), "\n")
-    out = raw.select(F.regexp_extract(lines[0], r"^(\S*)", 1).alias("id"), F.get(lines, 1).alias("seq"), F.get(lines, 2).alias("_plus"), F.get(lines, 3).alias("qual"), "file").where(F.col("seq").isNotNull())
-    ok = F.startswith("_plus", F.lit("+")) & (F.col("qual").isNull() | (F.length("qual") == F.length("seq")))
-    return _policy(out, F.coalesce(ok, F.lit(False)), mode, "FASTQ").drop("_plus")
+    parts = _fastq_rows(spark, paths, encoding_errors).where("state <> 1")
+    ok = F.col("fits") & F.startswith("plus", F.lit("+")) & ((F.col("state") == 2) | (F.length("qual") == F.length("seq")))
+    told = _policy(_named(parts, "state"), F.coalesce(ok, F.lit(False)), mode, "FASTQ")
+    return told.select("id", "seq", F.when(~F.startswith("qual", F.lit("@")), F.col("qual")).alias("qual"), "file")
 
 
 FASTQ_PARTS = "id string, seq string, plus string, qual string, fits boolean, state int, file string, start long, stop long"
 
 
 def _fastq_parts(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (value, file, start, length) cut at lines that start with '@', in order, to records (state 0).
+    """Rows (value, file, start, length, size) cut at lines that start with '@', in order, to records (state 0).
 
     A row of three lines waits for its quality, which starts with '@' and is the row behind. At a block's end it goes out as
-    state 2, and a quality at a block's begin as state 1.
+    state 2, or as a malformed record if the file ends there, and a quality at a block's begin as state 1.
     """
     names = [x.split(" ")[0] for x in FASTQ_PARTS.split(", ")]
     kinds = [pa.string()] * 4 + [pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
     block, waiting = None, None
+
+    def left() -> tuple:
+        file, start, length, size = block
+        last = start + length >= size
+        return (*waiting, None, not last, 0 if last else 2, file, start, start + length)
+
     for batch in stream:
         out = []
-        for value, *where in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start", "length")), strict=True):
+        for value, *where in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start", "length", "size")), strict=True):
             begins = where != block
             if begins and waiting:
-                out.append((*waiting, None, True, 2, block[0], block[1], block[1] + block[2]))
+                out.append(left())
             block, waiting = where, None if begins else waiting
             lines = value.replace("\r", "").rstrip("\n").split("\n")
             at = (where[0], where[1], where[1] + where[2])
@@ -122,6 +127,8 @@ def _fastq_parts(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines[0] = lines[0].removeprefix("@")
             else:
                 named = True
+            if len(lines) == 3 and not lines[1]:  # no letters: the empty quality went with the line ends
+                lines.append("")
             if waiting and len(lines) > 1:  # no quality follows: that record is malformed, this one may be sound
                 out.append((*waiting, None, False, 0, *at))
                 waiting = None
@@ -136,7 +143,18 @@ def _fastq_parts(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((*(lines + [None] * 4)[:4], named and len(lines) == 4, 0, *at))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
     if waiting:
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*waiting, None, True, 2, block[0], block[1], block[1] + block[2]), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(left(), kinds, strict=True)], names)
+
+
+def _fastq_rows(spark: SparkSession, paths: Paths, encoding_errors: str = "strict") -> DataFrame:
+    where = F.col("_metadata")
+    raw = importable(spark).read.option("lineSep", "\n@").text(paths).select(
+        _decoded(F.col("value"), encoding_errors).alias("value"), where["file_path"].alias("file"), where["file_block_start"].alias("start"), where["file_block_length"].alias("length"), where["file_size"].alias("size"))
+    return raw.mapInArrow(_fastq_parts, FASTQ_PARTS)
+
+
+def _named(records: DataFrame, *keep: str) -> DataFrame:
+    return records.select(F.regexp_extract(F.coalesce("id", F.lit("")), r"^(\S*)", 1).alias("id"), "seq", "plus", "qual", "fits", *keep, "file")
 
 
 def _per_file(spark: SparkSession, paths: Paths, parse, schema: str) -> DataFrame:
@@ -163,17 +181,14 @@ def read_fastq_exact(spark: SparkSession, paths: Paths, mode: str = "FAILFAST")
     A first pass finds the records that lie on both sides of a split, one at most for each. A record that the file's end cuts
     off is malformed.
     """
-    where = F.col("_metadata")
-    raw = importable(spark).read.option("lineSep", "\n@").text(paths).select("value", where["file_path"].alias("file"), where["file_block_start"].alias("start"), where["file_block_length"].alias("length"))
-    parts = raw.mapInArrow(_fastq_parts, FASTQ_PARTS)
+    parts = _fastq_rows(spark, paths)
     loose = shared_checkpoint(parts.where("state > 0"))
     heads = loose.where("state = 1").select(F.col("file").alias("_file"), F.col("start").alias("_start"), F.col("qual").alias("_qual"))
     both = loose.where("state = 2").join(heads, (F.col("file") == F.col("_file")) & (F.col("stop") == F.col("_start")), "full")
     joined = both.select("id", "seq", "plus", F.col("_qual").alias("qual"), (F.col("_qual").isNotNull() & F.col("id").isNotNull()).alias("fits"), F.coalesce("file", "_file").alias("file"))
     every = parts.where("state = 0").select("id", "seq", "plus", "qual", "fits", "file").unionByName(joined)
     ok = F.col("fits") & F.startswith("plus", F.lit("+")) & (F.length("qual") == F.length("seq"))
-    told = every.select(F.regexp_extract(F.coalesce("id", F.lit("")), r"^(\S*)", 1).alias("id"), "seq", "plus", "qual", "fits", "file")
-    return _policy(told, F.coalesce(ok, F.lit(False)), mode, "FASTQ").drop("plus", "fits")
+    return _policy(_named(every), F.coalesce(ok, F.lit(False)), mode, "FASTQ").drop("plus", "fits")
 
 
 def read_fastx(spark: SparkSession, paths: Paths, mode: str = "FAILFAST", encoding_errors: str = "strict") -> DataFrame:

@@ -100,6 +100,41 @@ def test_fastq_that_is_cut_or_broken(spark, tmp_path):
         assert kept == [["r1"], ["r1"], ["r1", "r3"], [], []][k]
 
 
+def test_fastx_whose_last_quality_starts_with_an_at(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(f"r{i}", strand(n := rnd.randint(1, 60), i), ("@" if i % 100 == 99 else rnd.choice("@+I!5")) + "".join(rnd.choices("@I", k=n - 1))) for i in range(1_200)]
+    (tmp_path / "many").mkdir()
+    for k in range(0, 1_200, 100):
+        (tmp_path / "many" / f"{k}.fq").write_text("".join(f"@{i} x\n{s}\n+\n{q}\n" for i, s, q in rows[k : k + 100]))
+    (tmp_path / "a.fa").write_text(">f\nAC\n")
+    want = sorted([(i, s, None if q[0] == "@" else q) for i, s, q in rows] + [("f", "AC", None)], key=str)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("777", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = readers.read_fastx(spark, [str(tmp_path / "a.fa"), str(tmp_path / "many")]).drop("file")
+            assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_fastq_ends_are_told_apart(spark, tmp_path):
+    path = tmp_path / "a.fq"
+    # text -> ids, and whether a record is malformed: blank lines and records without letters are sound, cut records are not
+    for text, ids, broken in [
+        ("\n\n@r1\nACGT\n+\n@III\n\n@r2\nG\n+\n@\n\n", ["r1", "r2"], False), ("@r1\n\n+\n\n@r2\n\n+\n\n", ["r1", "r2"], False), ("@r1\nA\n+\nI\n@r2\n", ["r1"], True),
+        ("@r1\nA\n+\nI\n@r2\nG\n+", ["r1"], True), ("@r1\n@r2\nGG\n+\nII\n", ["r2"], True), ("@r1\nACGT\n+\n@II\n", [], True),
+    ]:
+        path.write_text(text)
+        for read in (readers.read_fastq, readers.read_fastq_exact):
+            assert [r.id for r in read(spark, str(path), "DROPMALFORMED").collect()] == ids
+            if broken:
+                with pytest.raises(PySparkException):
+                    read(spark, str(path)).collect()
+            else:
+                assert read(spark, str(path)).count() == len(read(spark, str(path)).collect()) == len(ids)
+
+
 def test_bloom_document_of_a_million_bits(spark):
     bits = spark.range(0, 40_000).select((F.col("id") * 25).alias("bit"))
     began = time.perf_counter()
